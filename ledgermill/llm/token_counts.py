@@ -24,13 +24,13 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 class LongestMatch:
     """Counts for a vocabulary of word starts (with MARK) and continuations (without).
 
-    A character that is no piece by itself costs one token per UTF-8 byte and ends what stands before
+    A character that is no piece by itself (and a literal mark) costs one token per UTF-8 byte and ends what stands before
     it; a continuation starts after it.
     """
 
     def __init__(self, pieces: list[str]) -> None:
         vocab = set(pieces)
-        self.single = np.array(sorted({ord(p) for p in vocab if len(p) == 1}), dtype=np.int64)
+        self.single = np.array(sorted({ord(p) for p in vocab if len(p) == 1 and p != MARK}), dtype=np.int64)
         usable = [p for p in vocab if p and p.strip(MARK) and all(c in vocab for c in p.lstrip(MARK)) and MARK not in p[1:]]
         child: list[dict[str, int]] = [{}, {}]  # 0: word start (after MARK), 1: continuation
         ends = [False, False]
