@@ -82,7 +82,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
             goals[m] = g / g.sum() if len(g) and g.sum() > 0 else g
         for _ in range(rounds):
             for m in MARGINS:
-                now = np.bincount(codes[m], weights=w, minlength=len(goals[m]))
+                now = np.bincount(codes[m], weights=w, minlength=len(goals[m])).astype(np.float64)
                 w = w * np.divide(goals[m], now, out=np.zeros_like(now), where=now > 0)[codes[m]]
         t["weight"] = w
         return cells.sparkSession.createDataFrame(t, "source string, lang string, topic string, tokens long, weight double")
