@@ -148,11 +148,12 @@ def tier_one_merges(tiers: DataFrame, placed: DataFrame, chosen: DataFrame, key:
     return pairs if decided is None else pairs.join(decided.select(F.col(key).alias("loser")), "loser", "left_anti")
 
 
-def survivor_of(parents: DataFrame, max_rounds: int = 40) -> DataFrame:
+def survivor_of(parents: DataFrame) -> DataFrame:
     """K8: (id, survivor) from (id, parent); a null parent ends a chain. Pointer jumping doubles the step each
-    round, so depth 100 takes seven. A cycle is found by a node that still points on after 2^rounds steps."""
+    round, so depth 100 takes seven. No chain is longer than the number of nodes: who still points on after that
+    many steps is in a cycle, which stops the job."""
     hop = checkpointed(parents.select("id", F.coalesce("parent", "id").alias("up")))
-    for _ in range(max_rounds):
+    for _ in range(hop.count().bit_length() + 2):
         far = hop.select(F.col("id").alias("_i"), F.col("up").alias("_u"))
         nxt = checkpointed(hop.join(far, hop.up == far._i, "left").select("id", F.col("up").alias("old"), F.coalesce("_u", "up").alias("up")))
         moved = nxt.where("old <> up").limit(1).count()

@@ -21,7 +21,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Files are split by whole file (line numbers need what stands before), many files in parallel.
     """
     f = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^\\uFEFF", "")
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\\uFEFF", "")
     lines = f.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.posexplode(F.split(text, "\r?\n")).alias("at", "raw"))
     return lines.select("source_file", (F.col("at") + 1).alias("line_no"), "raw")
 
@@ -43,17 +43,16 @@ def read_csv(spark: SparkSession, path: str, header: list[str]) -> DataFrame:
     A header that isn't exactly `header`, or a record with another number of fields, stops the read.
     """
     f = spark.read.format("binaryFile").load(path)
-    text = F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^\\uFEFF", "")
-    rows = f.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), _records(text).alias("rs"))
-    line = F.transform("rs", lambda r: F.size(F.split(r, "\n")))
-    rows = rows.withColumn("starts", F.transform(F.sequence(F.lit(1), F.size("rs")), lambda i: F.aggregate(F.slice(line, F.lit(1), i - 1), F.lit(1), lambda a, b: a + b)))
-    want = F.array(*map(F.lit, header))
-    checked = F.when(_fields(F.get("rs", F.lit(0))) == want, F.col("rs")).otherwise(F.raise_error(F.concat(F.lit("header mismatch in "), "source_file")))
-    rows = rows.withColumn("rs", checked)
-    rows = rows.select("source_file", F.explode(F.slice(F.arrays_zip("starts", "rs"), F.lit(2), F.greatest(F.size("rs") - 1, F.lit(0)))).alias("r"))
-    rows = rows.select("source_file", F.col("r.starts").alias("line_no"), F.col("r.rs").alias("raw"), _fields(F.col("r.rs")).alias("v"))
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\\uFEFF", "")
+    rows = f.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.posexplode(_records(text)).alias("pos", "raw"))
+    lines = F.size(F.split("raw", "\n"))
+    before = Window.partitionBy("source_file").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("line_no", F.coalesce(F.sum(lines).over(before), F.lit(0)) + 1).withColumn("v", _fields(F.col("raw")))
+    bad = (F.col("pos") == 0) & (F.col("v") != F.array(*map(F.lit, header)))
+    rows = rows.withColumn("v", F.when(bad, F.raise_error(F.concat(F.lit("header mismatch in "), "source_file"))).otherwise(F.col("v")))
     v = F.when(F.size("v") == len(header), F.col("v")).otherwise(F.raise_error(F.concat(F.lit("field count at line "), F.col("line_no").cast("string"))))
-    rows = rows.withColumn("v", v)
+    # the header goes last, after it was looked at
+    rows = rows.withColumn("v", v).where((F.col("pos") > 0) | (F.size("v") < 0))
     return rows.select("line_no", "source_file", F.sha2(F.col("raw").cast("binary"), 256).alias("row_hash"), *[F.get("v", F.lit(i)).alias(h) for i, h in enumerate(header)])
 
 
@@ -82,7 +81,7 @@ def read_jsonl(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 def sniff(spark: SparkSession, path: str) -> DataFrame:
     """Per file the likeliest delimiter, byte order mark, line ends, non-ASCII characters."""
     f = spark.read.format("binaryFile").load(path)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     first = F.substring_index(text, "\n", 1)
     n = {d: F.regexp_count(first, F.lit(r)) for d, r in ((",", ","), (";", ";"), ("tab", "\t"), ("|", r"\|"))}
     most = F.greatest(*n.values())
@@ -98,7 +97,7 @@ def sniff(spark: SparkSession, path: str) -> DataFrame:
 def ragged(spark: SparkSession, path: str) -> DataFrame:
     """Per file the records whose field count isn't the header's, and fields that hold a line feed."""
     f = spark.read.format("binaryFile").load(path)
-    rs = _records(F.decode("content", F.lit("UTF-8")))
+    rs = _records(F.decode("content", "UTF-8"))
     rows = f.select(F.element_at(F.split("path", "/"), -1).alias("name"), rs.alias("rs"))
     wide = F.size(_fields(F.get("rs", F.lit(0))))
     odd = F.filter("rs", lambda r: F.size(_fields(r)) != wide)
