@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,9 @@ _TOKEN = re.compile(r"[^\W\d_]+")
 def features(word: str) -> list[int]:
     """Hashed features of a lower-case word."""
     parts = ["w" + word]
-    parts += [f"p{n}{word[:n]}" for n in (3, 4, 5, 6) if len(word) > n]
-    parts += [f"s{n}{word[-n:]}" for n in (3, 4) if len(word) > n]
+    parts += [f"p{word[:n]}" for n in range(3, 9) if len(word) > n]
+    parts += [f"r{word[:n]}+{len(word) - n}" for n in range(3, 9) if n < len(word) <= n + 6]  # a stem and a short ending
+    parts += [f"s{word[-n:]}" for n in (3, 4) if len(word) > n]
     return [xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 1) >> 1 for p in parts]
 
 
@@ -123,6 +124,7 @@ class ToxicityModel:
     transition: np.ndarray
     start: np.ndarray
     calibration: np.ndarray  # of 1, log(1 + expected toxic tokens), largest marginal
+    kept: dict[str, float] = field(default_factory=dict)  # emissions of words met in this process
 
     def emission(self, word: str) -> float:
         w = self.weights
@@ -259,8 +261,9 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             out = []
             for text in b.column(1).to_pylist():
                 words = _TOKEN.findall(text.lower())[: MAX_FIT_TOKENS * 6]
-                for x in set(words) - kept.keys():
-                    kept[x] = [known[f] for f in features(x) if f in known]
+                for x in words:
+                    if x not in kept:
+                        kept[x] = [known[f] for f in features(x) if f in known]
                 out.append([kept[x] for x in words])
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["toxic", "tokens"])
 
@@ -278,14 +281,16 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     return model
 
 
-def score_texts(model: ToxicityModel, texts: list[str | None], kept: dict[str, float]) -> list[tuple[float, str]]:
-    """(score, spans) of each text; kept: emissions of words met so far."""
+def score_texts(model: ToxicityModel, texts: list[str | None]) -> list[tuple[float, str]]:
+    """(score, spans) of each text."""
+    kept = model.kept
     words = [_TOKEN.findall((t or "").lower()) for t in texts]
     if len(kept) > WORDS_KEPT:
         kept.clear()
     for w in words:
-        for x in set(w) - kept.keys():
-            kept[x] = model.emission(x)
+        for x in w:
+            if x not in kept:
+                kept[x] = model.emission(x)
     starts = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
     emission = np.array([v for w in words for v in map(kept.__getitem__, w)])
     m = marginals(emission, starts, model.transition, model.start)
@@ -314,16 +319,16 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = TH
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, kept = shared.value, {}
+        m = shared.value
         for b in batches:
             texts, said, size = [], [], 0
             for t in b.column(2):
                 texts.append(t.as_py())
                 size += len(texts[-1] or "") // 6
                 if size >= TOKENS_AT_ONCE:
-                    said += score_texts(m, texts, kept)
+                    said += score_texts(m, texts)
                     texts, size = [], 0
-            said += score_texts(m, texts, kept) if texts else []
+            said += score_texts(m, texts) if texts else []
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([s for s, _ in said], pa.float64()),
                  pa.array([int(s >= threshold) for s, _ in said], pa.int32()), pa.array([x for _, x in said], pa.string())],
