@@ -62,7 +62,7 @@ def test_sinks(spark, tmp_path):
     new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     first = S.append_new(new, None, ["k"])
     assert S.append_new(new, first, ["k"]).count() == 0
-    with pytest.raises(PySparkException):
+    with pytest.raises(Exception, match="key repeated"):
         S.append_new(new.union(new), None, ["k"]).collect()
     assert rows(S.upsert(new, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
     S.rewrite(new, str(tmp_path / "t"), ["k"])
