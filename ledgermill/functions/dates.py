@@ -27,13 +27,17 @@ def read_by_separator(c: Column) -> Column:
     )
 
 
-def alternative_reading(c: Column) -> Column:
-    """Day and month swapped, if that is another real day."""
-    d = read_by_separator(c)
+def swapped(d: Column) -> Column:
+    """Day and month of a date exchanged, if that is another real day."""
     other = _valid(F.concat_ws("-", F.date_format(d, "yyyy"), F.date_format(d, "dd"), F.date_format(d, "MM")), "yyyy-MM-dd")
     return F.when(d.isNotNull(), F.nullif(other, d))
 
 
+def alternative_reading(c: Column) -> Column:
+    """Day and month swapped, if that is another real day."""
+    return swapped(read_by_separator(c))
+
+
 def age_in_years(born: Column, at: Column) -> Column:
     """Birthdays had; 29 February counts from 1 March in common years."""
     before = (F.month(at) < F.month(born)) | ((F.month(at) == F.month(born)) & (F.dayofmonth(at) < F.dayofmonth(born)))

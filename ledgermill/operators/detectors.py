@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import age_at, alternative_reading, read_by_separator
+from ..functions.dates import age_at, read_by_separator, swapped
 from ..functions.text import dedupe_key
 
 DRAFT = ["type", "scope", "title", "reason", "payload", "field", "dedupe_key"]
@@ -67,8 +67,12 @@ def human_conflicts(diff: DataFrame, owned: DataFrame, key: str) -> DataFrame:
 
 def age_flips(rows: DataFrame, raw: str, at: Column, limit: int = 18) -> DataFrame:
     """M7: rows whose subject is a minor under one reading of the birth date and an adult under the other."""
-    a, b = age_at(read_by_separator(F.col(raw)), at), age_at(alternative_reading(F.col(raw)), at)
-    return rows.withColumns({"age_read": a, "age_other": b}).where((F.col("age_read") < limit) != (F.col("age_other") < limit))
+    # bound once by lambdas: a filter on plain columns would be pushed down with every reading written out again
+    pair = lambda d, o: F.struct(age_at(d, at).alias("a"), age_at(o, at).alias("b"))
+    both = F.transform(F.array(read_by_separator(F.col(raw))), lambda d: F.get(F.transform(F.array(swapped(d)), lambda o: pair(d, o)), F.lit(0)))
+    r = rows.withColumn("_ages", F.get(both, F.lit(0)))
+    r = r.where((F.col("_ages.a") < limit) != (F.col("_ages.b") < limit))
+    return r.withColumns({"age_read": F.col("_ages.a"), "age_other": F.col("_ages.b")}).drop("_ages")
 
 
 def shifted(rows: DataFrame, born: str, signup: str, related: DataFrame, key: str) -> DataFrame:
