@@ -24,6 +24,7 @@ SAMPLE_PER_LANGUAGE = 1500
 GRAMS_PER_LANGUAGE = 40_000
 LOG_SLOTS = 20
 HASHES = 3
+MAX_BROADCAST_IDS = 200_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 _TABLE: list[np.ndarray] = []
@@ -136,6 +137,8 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = ids.select("lang", "doc_id").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_language)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    if chosen.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        chosen = F.broadcast(chosen)  # with very many languages the join is shuffled instead
     return ids.join(chosen, (ids.doc_id == chosen._id) & (ids.lang == chosen._lang), "left_semi").select("lang", "text")
 
 
