@@ -183,6 +183,27 @@ def test_golay_keys_miss_no_pair(spark):
     assert {(r.a, r.b) for r in got} == near and len(got) == len(near)
 
 
+def test_near_copies_leave_one_and_others_stay(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = []
+    for g in range(30):
+        base = [word() for _ in range(120 + g)]
+        for _ in range(3):
+            w = list(base)
+            for at in rng.choice(len(w), 1, replace=False):
+                w[at] = word()
+            rows.append(" ".join(w))
+        rows.append(" ".join(x if i % 3 else word() for i, x in enumerate(base)))  # a third of the words changed
+    kept = {r.doc_id for r in simhash_dedup.keep_representatives(docs(spark, rows).where("n_chars > 100")).collect()}
+    sets = [simhash_dedup.shingle_set(t) for t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert not [(a, b) for a, b in itertools.combinations(sorted(kept), 2) if alike(a, b) >= 0.8]
+    assert {i for i in range(len(rows)) if i % 4 == 3} <= kept
+    for i in set(range(len(rows))) - kept:
+        assert max(alike(i, j) for j in range(len(rows)) if j != i) >= 0.8
+
+
 def test_golay_code_is_perfect():
     g = simhash_dedup.Golay()
     p = g.patterns
