@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
+
 UNDETERMINED = "und"
 SIZES = (2, 3, 4)
 SAMPLE_PER_LANGUAGE = 1500
@@ -158,7 +160,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, grams_per_la
                     pd.DataFrame({"lang": lang, "gram": np.asarray(v, np.uint64).view(np.int64), "n": np.asarray(n, np.int64)}),
                     preserve_index=False)
 
-    counted = training_sample(docs, per_language).mapInArrow(count, "lang string, gram long, n long")
+    counted = training_sample(docs, per_language).mapInArrow(lean(count), "lang string, gram long, n long")
     counts = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
@@ -189,7 +191,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 names=["doc_id", "held_out", "lang_pred", "score"])
 
     src = docs.select(F.col("doc_id").cast("long"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return src.mapInArrow(lean(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -206,4 +208,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> Data
             said = [m.predict(t.as_py())[0] != UNDETERMINED for t in b.column(b.schema.get_field_index("text"))]
             yield b.filter(pa.array(said, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

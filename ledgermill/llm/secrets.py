@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 THRESHOLD = 0.5
 
 _ASSIGN = re.compile(
@@ -178,7 +180,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     """One row per input row. A null text is empty: no spans, the digest of nothing. No shuffle."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan_batches, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(_scan_batches), SCHEMA)
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
@@ -195,4 +197,4 @@ def redact_documents(docs: DataFrame) -> DataFrame:
                 b = b.set_column(j, b.schema.field(j), pa.array(n, b.schema.field(j).type))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

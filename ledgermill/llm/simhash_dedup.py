@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, lean
 
 RADIUS = 3
 WORDS = 3
@@ -79,7 +79,7 @@ def _fingerprint_batches(words: int):
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp long). A null text counts as empty; both give 0."""
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return src.mapInArrow(_fingerprint_batches(words), "doc_id long, fp long")
+    return src.mapInArrow(lean(_fingerprint_batches(words)), "doc_id long, fp long")
 
 
 def _remainder(x: int) -> int:
@@ -150,12 +150,23 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     if not 0 <= radius <= RADIUS:
         raise ValueError("the code finds pairs within 3 bits")
     fps = classes.select("fp")
-    left = fps.mapInArrow(_key_batches(False), "key int, fp long").withColumnRenamed("fp", "a")
-    right = fps.mapInArrow(_key_batches(True), "key int, fp long").withColumnRenamed("fp", "b")
+    left = fps.mapInArrow(lean(_key_batches(False)), "key int, fp long").withColumnRenamed("fp", "a")
+    right = fps.mapInArrow(lean(_key_batches(True)), "key int, fp long").withColumnRenamed("fp", "b")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     return left.join(right, "key").where(near).select("a", "b").distinct()
 
 
+def _labelled(own: DataFrame, radius: int) -> DataFrame:
+    """own (doc_id, fp, ...) with class_size and component_id."""
+    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("class_size")))
+    roots = components(links(classes, radius))
+    placed = classes.join(roots, classes.fp == roots.node, "left").select(
+        "fp", "least_id", "class_size", F.coalesce("root", "fp").alias("root")
+    )
+    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return own.join(placed.join(named, "root").select("fp", "class_size", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, class_size.
 
@@ -163,15 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     doc_id keeps its row and never names a component unless it stands alone. An empty table gives
     no rows. Other columns of `docs` are ignored.
     """
-    own = cut(fingerprints(docs, words))
-    classes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("class_size")))
-    roots = components(links(classes, radius))
-    placed = classes.join(roots, classes.fp == roots.node, "left").select(
-        "fp", "least_id", "class_size", F.coalesce("root", "fp").alias("root")
-    )
-    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labelled = placed.join(named, "root").select("fp", "class_size", "component_id")
-    return own.join(labelled, "fp").select(
+    return _labelled(cut(fingerprints(docs, words)), radius).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -179,17 +182,146 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     )
 
 
+# Near copies that differ in more than three bits: a copy with one word in fifty changed keeps four in
+# five of its five-word shingles, but its shingle fingerprint is some ten bits away. Fingerprints of the
+# set of words move by four bits then. COPY_SKETCHES independent ones are keyed by the same code.
+
+COPY_SKETCHES = 4
+COPY_BITS = 34  # of 256; pairs with four in five common five-word shingles have 15, at most 27 were seen
+COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+MAX_BROADCAST_IDS = 1_000_000
+ONE_SKETCH_BITS = 14  # of 64, a first look before all sketches are compared
+_SALTS = np.array([(i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for i in range(COPY_SKETCHES)], dtype=np.uint64)
+
+
+def word_sketches(words: list[str]) -> list[int]:
+    """COPY_SKETCHES fingerprints of the set of words (lower case)."""
+    if not words:
+        return [0] * COPY_SKETCHES
+    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in set(words)], dtype=np.uint64)
+    x = h[:, None] + _SALTS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    ones = np.zeros(64 * COPY_SKETCHES, dtype=np.int64)
+    for at in range(0, len(x), 1 << 14):
+        part = np.ascontiguousarray(x[at : at + (1 << 14)]).view(np.uint8).reshape(-1, 8 * COPY_SKETCHES)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h)).view(np.int64).tolist()
+
+
+SKETCHES = ", ".join(f"w{i} long" for i in range(COPY_SKETCHES))
+
+
+def _sketch_batches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, own = [], []
+            for t in b.column(1):
+                text = (t.as_py() or "").translate(_LOWER)
+                fps.append(majority(shingle_hashes(text, words)))
+                own.append(word_sketches(_WORD.findall(text)))
+            cols = zip(*own, strict=True) if own else [[]] * COPY_SKETCHES
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), *[pa.array(c, pa.int64()) for c in cols]],
+                names=["doc_id", "fp", *[f"w{i}" for i in range(COPY_SKETCHES)]],
+            )
+
+    return run
+
+
+def _copy_key_batches(probe: bool):
+    """(key, node, w) rows, w the key's own sketch: 3 stored keys a sketch, or all where one of two segments is the
+    word's own nearest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = Golay()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4_000):
+                b = whole.slice(at, 4_000)
+                cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+                keys, rows, own = [], [], []
+                for f in range(COPY_SKETCHES):
+                    u = cols[1 + f].view(np.uint64)
+                    k = [golay.keys(((u >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64)) for s, n in SEGMENTS]
+                    for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+                        for p, q in itertools.product(range(k[i].shape[1]), range(k[j].shape[1])):
+                            if p and q or not probe and (p or q):
+                                continue
+                            ok = np.flatnonzero((k[i][:, p] >= 0) & (k[j][:, q] >= 0))
+                            keys.append(((3 * f + tag) << 24) | (k[i][ok, p] << 12) | k[j][ok, q])
+                            rows.append(cols[0][ok])
+                            own.append(cols[1 + f][ok])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(own))],
+                    names=["key", "node", "w"],
+                )
+
+    return run
+
+
+def copy_links(nodes: DataFrame, docs: DataFrame, bits: int = COPY_BITS) -> DataFrame:
+    """Edges (a, b) between nodes (node: a doc_id, w0, w1, ...) that share four in five five-word shingles.
+
+    Under each key a node is held against up to four of the nodes stored there (the least, the greatest, and two
+    by hash), never against all, so a large group of copies makes a bounded number of rows a node. Groups of up to
+    four under a key are compared whole; larger ones grow together through their many keys. Pairs whose sketches
+    differ in at most `bits` bits are then compared by their texts.
+    """
+    names = [f"w{i}" for i in range(COPY_SKETCHES)]
+    src = nodes.select("node", *names)
+    schema = "key int, node long, w long"
+    stored = src.mapInArrow(lean(_copy_key_batches(False)), schema)
+    asked = src.mapInArrow(lean(_copy_key_batches(True)), schema)
+    row = F.struct("node", "w")
+    by_hash = F.xxhash64("node", "key")
+    hubs = stored.groupBy("key").agg(
+        F.min_by(row, "node").alias("h0"), F.max_by(row, "node").alias("h1"), F.min_by(row, by_hash).alias("h2"), F.max_by(row, by_hash).alias("h3"))
+    one = lambda h: F.when(
+        (F.col(f"{h}.node") != F.col("node")) & (F.bit_count(F.col(f"{h}.w").bitwiseXOR(F.col("w"))) <= ONE_SKETCH_BITS),
+        F.struct(F.greatest("node", f"{h}.node").alias("a"), F.least("node", f"{h}.node").alias("b")))
+    edges = F.array_distinct(F.array_compact(F.array(*map(one, ("h0", "h1", "h2", "h3")))))
+    found = asked.join(hubs, "key").select(edges.alias("e")).where(F.size("e") > 0)
+    pairs = found.select(F.explode("e").alias("e")).select("e.a", "e.b").distinct()
+    side = lambda c: src.select(F.col("node").alias(c), *[F.col(w).alias(f"{c}_{w}") for w in names])
+    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in names), F.lit(0))
+    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= bits).select("a", "b"))
+    need = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    if need.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        need = F.broadcast(need)  # else the texts are shuffled to the ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t")).join(need, "_id", "left_semi")
+    texts = texts.groupBy("_id").agg(F.min("_t").alias("_t"))
+    both = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
+    return both.select("a", "b", "ta", "tb").mapInArrow(lean(_verified), "a long, b long")
+
+
+def shingle_set(text: str | None, words: int = COPY_WORDS) -> set:
+    w = _WORD.findall((text or "").translate(_LOWER))
+    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            p, q = shingle_set(x.as_py()), shingle_set(y.as_py())
+            both = len(p & q)
+            keep.append(both >= COPY_SIMILARITY * (len(p) + len(q) - both) if p or q else True)
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def keep_representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` with the smallest doc_id of each group, all columns as they are.
 
+    Groups are components of `near_duplicates`, grown together where `copy_links` finds near copies.
     Of rows that repeat a kept doc_id the one with the least text stays. Rows with a null doc_id stay.
     """
-    keep = (
-        near_duplicates(docs, words, radius)
-        .where("doc_id = component_id")
-        .select(F.col("doc_id").alias("_kept"))
-        .distinct()
-    )
+    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = cut(src.mapInArrow(lean(_sketch_batches(words)), f"doc_id long, fp long, {SKETCHES}"))
+    reps = _labelled(own, radius).where("doc_id = component_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+    reps = cut(reps.select("node", *[f"w{i}" for i in range(COPY_SKETCHES)]))
+    roots = components(copy_links(reps, docs)).where("node <> root").select("node")
+    keep = reps.join(roots, "node", "left_anti").select(F.col("node").alias("_kept"))
     kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")

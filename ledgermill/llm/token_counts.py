@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MARK = "▁"
 WORDS_AT_ONCE = 200_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,4 +166,4 @@ def count_tokens(docs: DataFrame, model_file: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words), pa.array(n_tokens)], names=["doc_id", "n_words", "n_tokens"])
 
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return src.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return src.mapInArrow(lean(run), "doc_id long, n_words long, n_tokens long")

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, lean
 from .langid import is_held_out
 
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000  # labelled documents that features are counted on
@@ -207,7 +208,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
                 [*b.columns, pa.array([x for x, _ in both], pa.int64()), pa.array([y for _, y in both], pa.int64())],
                 names=[*b.schema.names, "s1", "s2"])
 
-    kept = rows.select("doc_id", "text", "toxic").mapInArrow(sketch, "doc_id long, text string, toxic int, s1 long, s2 long")
+    kept = rows.select("doc_id", "text", "toxic").mapInArrow(lean(sketch), "doc_id long, text string, toxic int, s1 long, s2 long")
     for s in ("s1", "s2"):
         w = Window.partitionBy(s, "toxic").orderBy("doc_id")
         kept = kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -215,27 +216,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    from .common import cut
 
     rows = cut(training_rows(docs, labels))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        n = Counter()
         for b in batches:
             for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                n[y] += 1
                 found[y].update({f for w in set(_TOKEN.findall(text.lower())) for f in features(w)})
         for y in (0, 1):
-            items = [(-1, n[y]), *found[y].items()]
+            items = list(found[y].items())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in items], pa.int64()), pa.array([y] * len(items), pa.int32()), pa.array([v for _, v in items], pa.int64())],
                 names=["f", "y", "n"])
 
-    counts = rows.mapInArrow(count, "f long, y int, n long").groupBy("f").agg(
+    counts = rows.mapInArrow(lean(count), "f long, y int, n long").groupBy("f").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
-    totals = counts.where("f = -1").first()
-    n_toxic, n_clean = (int(totals["t"]), int(totals["c"])) if totals else (0, 0)
+    of = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean = of.get(1, 0), of.get(0, 0)
     prior = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))).agg(F.avg("toxic").alias("p")).first()["p"] or 0.0
     nothing = ToxicityModel({}, -6.0, np.log(np.full((2, 2), 0.5) + [[0.4, -0.4], [0.0, 0.0]]), np.log(np.array([0.9, 0.1])),
                             np.array([np.log((prior + 1e-4) / (1 - prior + 1e-4)), 0.0, 0.0]))
@@ -244,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
     least = max(4, round(0.002 * n_toxic))
     table = (
-        counts.where((F.col("f") >= 0) & (F.col("t") + F.col("c") >= least)).withColumn("odds", odds)
+        counts.where(F.col("t") + F.col("c") >= least).withColumn("odds", odds)
         .where(F.abs("odds") >= 1.0).orderBy(F.desc(F.abs(F.col("odds")) * F.log1p(F.col("t") + F.col("c"))), "f").limit(20_000).toPandas()
     )
     if table.empty:
@@ -267,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
                 out.append([kept[x] for x in words])
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["toxic", "tokens"])
 
-    fit = few.select("doc_id", "text", "toxic").mapInArrow(encode, "toxic int, tokens array<array<int>>").toArrow()
+    fit = few.select("doc_id", "text", "toxic").mapInArrow(lean(encode), "toxic int, tokens array<array<int>>").toArrow()
     texts, y = [x for x in fit["tokens"].to_pylist()], np.array(fit["toxic"].to_pylist(), dtype=np.float64)
     tags = [np.array([float(label == 1 and any(seed[f] for f in x)) for x in t]) for t, label in zip(texts, y, strict=True)]
     weights, bias, trans, start = _fit_chain(texts, tags, len(number))
@@ -335,4 +333,4 @@ def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = TH
                 names=["doc_id", "held_out", "score", "predicted", "spans"])
 
     src = docs.select(F.col("doc_id").cast("long"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return src.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, spans string")
+    return src.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int, spans string")
