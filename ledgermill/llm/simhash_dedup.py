@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 # set of words move by four bits then. COPY_SKETCHES independent ones are keyed by the same code.
 
 COPY_SKETCHES = 4
-COPY_BITS = 34  # of 256; pairs with four in five common five-word shingles have 15, at most 27 were seen
+COPY_BITS = 28  # of 256; pairs with four in five common five-word shingles have 15, at most 27 were seen
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
 MAX_BROADCAST_IDS = 1_000_000
 ONE_SKETCH_BITS = 14  # of 64, a first look before all sketches are compared
@@ -263,9 +263,9 @@ def _copy_key_batches(probe: bool):
 def copy_links(nodes: DataFrame, docs: DataFrame, bits: int = COPY_BITS) -> DataFrame:
     """Edges (a, b) between nodes (node: a doc_id, w0, w1, ...) that share four in five five-word shingles.
 
-    Under each key a node is held against up to four of the nodes stored there (the least, the greatest, and two
-    by hash), never against all, so a large group of copies makes a bounded number of rows a node. Groups of up to
-    four under a key are compared whole; larger ones grow together through their many keys. Pairs whose sketches
+    Under each key a node is held against up to two of the nodes stored there (the ends of an order by hash, another
+    order under each key), never against all, so a large group of copies makes a bounded number of rows a node. Pairs
+    under a key are compared whole; larger groups grow together through their many keys. Pairs whose sketches
     differ in at most `bits` bits are then compared by their texts.
     """
     names = [f"w{i}" for i in range(COPY_SKETCHES)]
@@ -276,17 +276,17 @@ def copy_links(nodes: DataFrame, docs: DataFrame, bits: int = COPY_BITS) -> Data
     row = F.struct("node", "w")
     by_hash = F.xxhash64("node", "key")
     hubs = stored.groupBy("key").agg(
-        F.min_by(row, "node").alias("h0"), F.max_by(row, "node").alias("h1"), F.min_by(row, by_hash).alias("h2"), F.max_by(row, by_hash).alias("h3"))
+        F.min_by(row, by_hash).alias("h0"), F.max_by(row, by_hash).alias("h1"))
     one = lambda h: F.when(
         (F.col(f"{h}.node") != F.col("node")) & (F.bit_count(F.col(f"{h}.w").bitwiseXOR(F.col("w"))) <= ONE_SKETCH_BITS),
         F.struct(F.greatest("node", f"{h}.node").alias("a"), F.least("node", f"{h}.node").alias("b")))
-    edges = F.array_distinct(F.array_compact(F.array(*map(one, ("h0", "h1", "h2", "h3")))))
+    edges = F.array_distinct(F.array_compact(F.array(*map(one, ("h0", "h1")))))
     found = asked.join(hubs, "key").select(edges.alias("e")).where(F.size("e") > 0)
     pairs = found.select(F.explode("e").alias("e")).select("e.a", "e.b").distinct()
     side = lambda c: src.select(F.col("node").alias(c), *[F.col(w).alias(f"{c}_{w}") for w in names])
     apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in names), F.lit(0))
     pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= bits).select("a", "b"))
-    need = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    need = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
     if need.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         need = F.broadcast(need)  # else the texts are shuffled to the ids
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t")).join(need, "_id", "left_semi")
