@@ -2,8 +2,10 @@
 
 The graph starts from random-projection blocks and is improved by rounds of Spark joins: each node
 gathers its neighbours and a bounded sample of the nodes that name it, with their vectors; neighbours
-of a common node are compared with each other, and what beats a node's worst neighbour is kept.
-Queries walk the graph greedily: each round expands the best nodes not yet expanded of a query's beam.
+of a common node are compared with each other, and what beats a node's worst neighbour is kept. Rounds
+go on until hardly any list changes (`CHANGED` of the entries).
+Queries walk the graph greedily: each round expands the best nodes not yet expanded of a query's beam,
+until a beam holds no such node.
 
 Largest inner product is made a distance of equal-length vectors by one more component
 (sqrt(longest^2 - |x|^2)). Equal vectors are one node; a node stands for its smallest vec_ids.
@@ -11,7 +13,9 @@ Largest inner product is made a distance of equal-length vectors by one more com
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,14 +25,13 @@ from pyspark.sql import functions as F
 from .common import cut
 
 TOP = 20
-DEGREE = 20
-REVERSE = 20
-ROUNDS = 4
+DEGREE = 40
+REVERSE = 40
+CHANGED = 0.001  # share of list entries that are new in a round; below it NN-descent has converged
 TREES = 3
 BLOCK = 128
-BEAM = 64
-EXPAND = 10
-SEARCH_ROUNDS = 4
+BEAM = 128
+EXPAND = 20
 
 
 def valid(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -91,11 +94,13 @@ def _whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.Data
 
 
 EDGE = "node long, other long, score float"
+EDGE_COLUMNS = ("node", "other", "score")
 
 
 def _best(edges: DataFrame, degree: int) -> DataFrame:
+    """The `degree` best edges of each node; `fresh` stays on edges that only rows marked so hold."""
     w = Window.partitionBy("node").orderBy(F.desc("score"), "other")
-    once = edges.groupBy("node", "other").agg(F.max("score").alias("score"))
+    once = edges.groupBy("node", "other").agg(F.max("score").alias("score"), F.min("fresh").alias("fresh"))
     return once.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= degree).drop("_n")
 
 
@@ -129,7 +134,7 @@ def _start(packed: DataFrame, dims: int, n: int, degree: int, trees: int) -> Dat
 
     keyed = packed.mapInPandas(key, "block long, node long, code binary")
     sorted_ = keyed.repartition("block").sortWithinPartitions("block", "node")
-    return _best(sorted_.mapInPandas(compare, EDGE), degree)
+    return _best(sorted_.mapInPandas(compare, EDGE).withColumn("fresh", F.lit(True)), degree)
 
 
 def _improve(edges: DataFrame, packed: DataFrame, dims: int, degree: int, reverse: int, nth: int) -> DataFrame:
@@ -168,17 +173,22 @@ def _improve(edges: DataFrame, packed: DataFrame, dims: int, degree: int, revers
                 yield pd.DataFrame({"node": node[few], "other": other[few], "score": score[few]})
 
     found = gathered.select("via", "node", "code", "worst").mapInPandas(compare, EDGE)
-    return _best(edges.unionByName(found), degree)
+    both = edges.select(*EDGE_COLUMNS, F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
+    return _best(both, degree)
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, trees: int = TREES, reverse: int = REVERSE) -> tuple[DataFrame, DataFrame, int]:
-    """(edges node, other, score; packed vectors; components) of the neighbour graph."""
+def build_graph(nodes: DataFrame, degree: int = DEGREE, changed: float = CHANGED, trees: int = TREES, reverse: int = REVERSE) -> tuple[DataFrame, DataFrame, int]:
+    """(edges node, other, score; packed vectors; components) of the neighbour graph. Lists only get better, so the
+    rounds end."""
     packed, dims = _packed(nodes)
     packed = cut(packed)
     edges = cut(_start(packed, dims, packed.count(), degree, trees))
-    for i in range(rounds):
+    for i in itertools.count():
         edges = cut(_improve(edges, packed, dims, degree, reverse, i))
-    return edges, packed, dims
+        r = edges.agg(F.count_if("fresh").alias("fresh"), F.count("*").alias("n")).first()
+        if r["fresh"] <= changed * r["n"]:
+            break
+    return edges.select(*EDGE_COLUMNS), packed, dims
 
 
 def _adjacency(edges: DataFrame, packed: DataFrame) -> DataFrame:
@@ -196,12 +206,14 @@ def _adjacency(edges: DataFrame, packed: DataFrame) -> DataFrame:
 BEAM_ROW = "query long, code binary, ids array<long>, scores array<float>, open array<boolean>"
 
 
-def search(queries: DataFrame, edges: DataFrame, packed: DataFrame, dims: int, beam: int = BEAM, expand: int = EXPAND, rounds: int = SEARCH_ROUNDS) -> DataFrame:
-    """(query, node) of the best nodes found for each query node. queries: (query: a node)."""
+def search(queries: DataFrame, edges: DataFrame, packed: DataFrame, dims: int, beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
+    """(query, node) of the best nodes found for each query node. queries: (query: a node). A node is expanded once
+    and never enters a beam again as open, so every walk ends."""
     graph = cut(_adjacency(edges, packed))
     state = queries.join(packed, queries["query"] == packed["node"]).select(
         "query", "code", F.array("query").alias("ids"), F.array(F.lit(2.0).cast("float")).alias("scores"), F.array(F.lit(True)).alias("open"))
-    for _ in range(rounds):
+    ended = []
+    while True:
         # a row per node to expand, and one (node null) that carries the beam
         opened = F.slice(F.filter("ids", lambda x, i: F.col("open")[i]), 1, expand)
         asked = state.select("query", "code", F.explode(opened).alias("node")).join(graph, "node").select(
@@ -218,14 +230,14 @@ def search(queries: DataFrame, edges: DataFrame, packed: DataFrame, dims: int, b
                     q = np.frombuffer(g["code"].iloc[0], np.float32).copy()
                     q[-1] = 0.0
                     ids, scores, open_ = [], [], []
-                    done: set[int] = set()
-                    for node, others, codes, i, sc, op in zip(g["node"], g["others"], g["codes"], g["ids"], g["scores"], g["open"], strict=True):
+                    done = np.zeros(0, np.int64)
+                    for others, codes, i, sc, op in zip(g["others"], g["codes"], g["ids"], g["scores"], g["open"], strict=True):
                         if i is not None:
                             ids.append(np.asarray(i, np.int64))
                             scores.append(np.asarray(sc, np.float32))
                             open_.append(np.asarray(op, bool))
+                            done = ids[-1][open_[-1]][:expand]  # those without a neighbour have no row of their own
                         else:
-                            done.add(int(node))
                             ids.append(np.asarray(others, np.int64))
                             scores.append(np.frombuffer(codes, np.float32).reshape(-1, dims) @ q)
                             open_.append(np.ones(len(others), bool))
@@ -236,14 +248,18 @@ def search(queries: DataFrame, edges: DataFrame, packed: DataFrame, dims: int, b
                     ids, scores, open_ = ids[once], scores[once], open_[once]
                     best = np.lexsort((ids, -scores))[:beam]
                     ids, scores = ids[best], scores[best]
-                    open_ = open_[best] & ~np.isin(ids, list(done))
+                    open_ = open_[best] & ~np.isin(ids, done)
                     out.append((g["query"].iloc[0], g["code"].iloc[0], ids, scores, open_))
                 if out:
                     yield pd.DataFrame(out, columns=["query", "code", "ids", "scores", "open"])
 
         rows = carried.unionByName(asked).repartition("query").sortWithinPartitions("query", "node")
-        state = cut(rows.mapInPandas(merge, BEAM_ROW))
-    return state.select("query", F.explode("ids").alias("node"))
+        walked = cut(rows.mapInPandas(merge, BEAM_ROW))
+        more = F.exists("open", lambda x: x)
+        ended.append(walked.where(~more).select("query", F.explode("ids").alias("node")))
+        state = walked.where(more)
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, ended)
 
 
 def nearest(vectors: DataFrame, column: str = "embedding", top: int = TOP, every: int = 20) -> DataFrame:

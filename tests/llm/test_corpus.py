@@ -242,6 +242,20 @@ def test_nearest_finds_most_and_scores_exactly(spark):
     assert hit >= 0.9 * 30 * 20 and {r.query_id for r in got} == set(range(0, 600, 20))
 
 
+def test_nearest_without_clusters(spark):
+    x = np.random.default_rng(6).standard_normal((3000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in ann.nearest(_vectors(spark, x)).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, own in found.items():
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20].tolist()) & own)
+    assert len(found) == 150 and hit >= 0.97 * 150 * 20
+
+
 def test_nearest_with_equal_vectors_and_few_rows(spark):
     x = np.tile(np.array([[1.0, 0.0]], np.float32), (50, 1))
     got = ann.nearest(_vectors(spark, x)).collect()
