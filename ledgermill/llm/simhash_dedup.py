@@ -183,116 +183,88 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 
 # Near copies that differ in more than three bits: a copy with one word in fifty changed keeps four in
-# five of its five-word shingles, but its shingle fingerprint is some ten bits away. Fingerprints of the
-# set of words move by four bits then. COPY_SKETCHES independent ones are keyed by the same code.
+# five of its five-word shingles, but its shingle fingerprint is some ten bits away. Their candidates are
+# MinHash bands of the five-word shingles: a pair that shares COPY_SIMILARITY of them has no band in
+# common with probability (1 - 0.8^5)^24 = 7e-5, whatever was changed in it and however long it is.
 
-COPY_SKETCHES = 4
-COPY_BITS = 28  # of 256; pairs with four in five common five-word shingles have 15, at most 27 were seen
 COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS = 24, 5
 MAX_BROADCAST_IDS = 1_000_000
-ONE_SKETCH_BITS = 14  # of 64, a first look before all sketches are compared
-_SALTS = np.array([(i + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for i in range(COPY_SKETCHES)], dtype=np.uint64)
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+_TIMES, _PLUS = _DRAWN[0] << np.uint64(1) | np.uint64(1), _DRAWN[1]
 
 
-def word_sketches(words: list[str]) -> list[int]:
-    """COPY_SKETCHES fingerprints of the set of words (lower case)."""
+def band_keys(words: list[str]) -> list[int]:
+    """BANDS keys of the set of five-word shingles (lower-case words); none without words."""
     if not words:
-        return [0] * COPY_SKETCHES
-    h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in set(words)], dtype=np.uint64)
-    x = h[:, None] + _SALTS
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    ones = np.zeros(64 * COPY_SKETCHES, dtype=np.int64)
-    for at in range(0, len(x), 1 << 14):
-        part = np.ascontiguousarray(x[at : at + (1 << 14)]).view(np.uint8).reshape(-1, 8 * COPY_SKETCHES)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h)).view(np.int64).tolist()
+        return []
+    h = np.unique(np.array(_digests(words, COPY_WORDS), dtype=np.uint64))
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(h), 1 << 11):
+        least = np.minimum(least, (h[at : at + (1 << 11), None] * _TIMES + _PLUS).min(axis=0))
+    own = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(own[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-SKETCHES = ", ".join(f"w{i} long" for i in range(COPY_SKETCHES))
+def _digests(w: list[str], words: int) -> list[int]:
+    digest = xxhash.xxh64_intdigest
+    parts = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [w]
+    return [digest(" ".join(p).encode("utf-8", "surrogatepass"), SEED) for p in parts]
 
 
 def _sketch_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, own = [], []
+            fps, same, keys = [], [], []
             for t in b.column(1):
                 text = (t.as_py() or "").translate(_LOWER)
-                fps.append(majority(shingle_hashes(text, words)))
-                own.append(word_sketches(_WORD.findall(text)))
-            cols = zip(*own, strict=True) if own else [[]] * COPY_SKETCHES
+                w = _WORD.findall(text)
+                fps.append(majority(_digests(w, words) if w else []))
+                same.append(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")))
+                keys.append(band_keys(w))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), *[pa.array(c, pa.int64()) for c in cols]],
-                names=["doc_id", "fp", *[f"w{i}" for i in range(COPY_SKETCHES)]],
+                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "same", "keys"],
             )
 
     return run
 
 
-def _copy_key_batches(probe: bool):
-    """(key, node, w) rows, w the key's own sketch: 3 stored keys a sketch, or all where one of two segments is the
-    word's own nearest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4_000):
-                b = whole.slice(at, 4_000)
-                cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-                keys, rows, own = [], [], []
-                for f in range(COPY_SKETCHES):
-                    u = cols[1 + f].view(np.uint64)
-                    k = [golay.keys(((u >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64)) for s, n in SEGMENTS]
-                    for tag, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-                        for p, q in itertools.product(range(k[i].shape[1]), range(k[j].shape[1])):
-                            if p and q or not probe and (p or q):
-                                continue
-                            ok = np.flatnonzero((k[i][:, p] >= 0) & (k[j][:, q] >= 0))
-                            keys.append(((3 * f + tag) << 24) | (k[i][ok, p] << 12) | k[j][ok, q])
-                            rows.append(cols[0][ok])
-                            own.append(cols[1 + f][ok])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).astype(np.int32)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(own))],
-                    names=["key", "node", "w"],
-                )
-
-    return run
-
-
-def copy_links(nodes: DataFrame, docs: DataFrame, bits: int = COPY_BITS) -> DataFrame:
-    """Edges (a, b) between nodes (node: a doc_id, w0, w1, ...) that share four in five five-word shingles.
+def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (a, b) that join what shares four in five five-word shingles. nodes: node (a doc_id), base, keys.
 
-    Under each key a node is held against up to two of the nodes stored there (the ends of an order by hash, another
-    order under each key), never against all, so a large group of copies makes a bounded number of rows a node. Pairs
-    under a key are compared whole; larger groups grow together through their many keys. Pairs whose sketches
-    differ in at most `bits` bits are then compared by their texts.
+    Nodes with one base are joined already. Nodes under one key are candidates. Those that share keys with the
+    most others (an original among its copies) are asked first: round r holds the members of a key against
+    2^r of them, and only where the two aren't joined yet, so that a group of copies takes a row or two a
+    member. A key ends when all of its members are joined or every pair that isn't was compared: components
+    come out as if all pairs under a key had been compared.
     """
-    names = [f"w{i}" for i in range(COPY_SKETCHES)]
-    src = nodes.select("node", *names)
-    schema = "key int, node long, w long"
-    stored = src.mapInArrow(lean(_copy_key_batches(False)), schema)
-    asked = src.mapInArrow(lean(_copy_key_batches(True)), schema)
-    row = F.struct("node", "w")
-    by_hash = F.xxhash64("node", "key")
-    hubs = stored.groupBy("key").agg(
-        F.min_by(row, by_hash).alias("h0"), F.max_by(row, by_hash).alias("h1"))
-    one = lambda h: F.when(
-        (F.col(f"{h}.node") != F.col("node")) & (F.bit_count(F.col(f"{h}.w").bitwiseXOR(F.col("w"))) <= ONE_SKETCH_BITS),
-        F.struct(F.greatest("node", f"{h}.node").alias("a"), F.least("node", f"{h}.node").alias("b")))
-    edges = F.array_distinct(F.array_compact(F.array(*map(one, ("h0", "h1")))))
-    found = asked.join(hubs, "key").select(edges.alias("e")).where(F.size("e") > 0)
-    pairs = found.select(F.explode("e").alias("e")).select("e.a", "e.b").distinct()
-    side = lambda c: src.select(F.col("node").alias(c), *[F.col(w).alias(f"{c}_{w}") for w in names])
-    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in names), F.lit(0))
-    pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= bits).select("a", "b"))
-    need = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    crowd = cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    mates = crowd.groupBy("node").agg(F.sum("n").alias("mates"))
+    order = Window.partitionBy("key").orderBy(F.desc("mates"), "node")
+    live = crowd.join(mates, "node").withColumn("nth", F.row_number().over(order)).select("key", "node", "n", "nth")
+    live = cut(live.join(nodes.select("node", F.col("base").alias("root")), "node"))
+    need = mates.select(F.col("node").alias("_id"))
     if need.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         need = F.broadcast(need)  # else the texts are shuffled to the ids
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t")).join(need, "_id", "left_semi")
-    texts = texts.groupBy("_id").agg(F.min("_t").alias("_t"))
-    both = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(lean(_verified), "a long, b long")
+    texts = cut(texts.groupBy("_id").agg(F.min("_t").alias("_t")))
+    edges = nodes.select(F.col("node").alias("a"), F.col("base").alias("b")).where("a <> b")
+    for r in itertools.count():
+        # what may still be joined: keys with members of several groups and ranks to come
+        apart = live.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l <> _m").select("key")
+        live = cut(live.join(apart, "key", "left_semi").where(F.col("n") > (1 << r)))
+        if live.isEmpty():
+            return edges
+        hubs = live.where(F.col("nth").between(1 << r, (2 << r) - 1)).select("key", F.col("node").alias("b"), F.col("root").alias("_r"), F.col("nth").alias("_h"))
+        pairs = live.join(hubs, "key").where("nth > _h and root <> _r").select(F.col("node").alias("a"), "b").distinct()
+        both = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
+        found = cut(both.select("a", "b", "ta", "tb").mapInArrow(lean(_verified), "a long, b long"))
+        edges = edges.unionByName(found)
+        joined = live.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct().unionByName(found)
+        roots = components(joined)
+        live = live.join(roots, "node", "left").select("key", "node", "n", "nth", F.coalesce(roots["root"], live["root"]).alias("root"))
 
 
 def shingle_set(text: str | None, words: int = COPY_WORDS) -> set:
@@ -317,11 +289,12 @@ def keep_representatives(docs: DataFrame, words: int = WORDS, radius: int = RADI
     Of rows that repeat a kept doc_id the one with the least text stays. Rows with a null doc_id stay.
     """
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    own = cut(src.mapInArrow(lean(_sketch_batches(words)), f"doc_id long, fp long, {SKETCHES}"))
-    reps = _labelled(own, radius).where("doc_id = component_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
-    reps = cut(reps.select("node", *[f"w{i}" for i in range(COPY_SKETCHES)]))
-    roots = components(copy_links(reps, docs)).where("node <> root").select("node")
-    keep = reps.join(roots, "node", "left_anti").select(F.col("node").alias("_kept"))
+    own = cut(src.mapInArrow(lean(_sketch_batches(words)), "doc_id long, fp long, same binary, keys array<long>"))
+    named = _labelled(own, radius).where("doc_id is not null")
+    # a node per distinct text, all of its group
+    nodes = cut(named.groupBy("component_id", "same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")).select("node", F.col("component_id").alias("base"), "keys"))
+    gone = components(copy_links(nodes, docs)).where("node <> root").select("node")
+    keep = nodes.join(gone, "node", "left_anti").select(F.col("node").alias("_kept")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")

@@ -204,6 +204,27 @@ def test_near_copies_leave_one_and_others_stay(spark):
         assert max(alike(i, j) for j in range(len(rows)) if j != i) >= 0.8
 
 
+def _kept(spark, texts):
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return {r.doc_id for r in simhash_dedup.keep_representatives(d).collect()}
+
+
+def test_a_large_group_of_copies_leaves_one(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base = [word() for _ in range(100)]
+    rows = []
+    for _ in range(400):
+        w = list(base)
+        for at in rng.choice(len(w), 2, replace=False):
+            w[at] = word()
+        rows.append(" ".join(w))
+    own = simhash_dedup.shingle_set(" ".join(base))
+    rows = [t for t in rows if len(own & (s := simhash_dedup.shingle_set(t))) >= 0.8 * len(own | s)]
+    rows.insert(len(rows) // 2, " ".join(base))
+    assert len(rows) > 300 and _kept(spark, rows) == {0}
+
+
 def test_golay_code_is_perfect():
     g = simhash_dedup.Golay()
     p = g.patterns
