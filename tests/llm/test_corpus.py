@@ -225,6 +225,20 @@ def test_a_large_group_of_copies_leaves_one(spark):
     assert len(rows) > 300 and _kept(spark, rows) == {0}
 
 
+@pytest.mark.parametrize("size", [20, 60, 400])
+def test_cut_and_appended_copies_leave_one(spark, size):
+    rng = np.random.default_rng(size)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows = []
+    for g in range(60):
+        base = [word() for _ in range(size)]
+        more = [word() for _ in range(size // 6 - 1)]
+        rows += [" ".join(base), " ".join(base[: len(base) - size // 7] if g % 3 == 0 else base + more if g % 3 == 1 else [*base[:-1], word()])]
+    alike = lambda p, q: len(p & q) / len(p | q)
+    assert all(alike(*map(simhash_dedup.shingle_set, rows[i : i + 2])) >= 0.8 for i in range(0, len(rows), 2))
+    assert _kept(spark, rows) == set(range(0, len(rows), 2))
+
+
 def test_golay_code_is_perfect():
     g = simhash_dedup.Golay()
     p = g.patterns
