@@ -239,6 +239,19 @@ def test_cut_and_appended_copies_leave_one(spark, size):
     assert _kept(spark, rows) == set(range(0, len(rows), 2))
 
 
+def test_copies_of_any_member_join_its_group(spark):
+    """Each text is a copy of the one before only; three-bit groups of them have other members than their least."""
+    rng = np.random.default_rng(15)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    w, rows = [word() for _ in range(300)], []
+    for at in range(60):
+        rows.append(" ".join(w))
+        w[5 * at] = word()
+    assert _kept(spark, rows) == {0}
+    n = [r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()]
+    assert 1 < len(set(n)) < len(n)
+
+
 def test_golay_code_is_perfect():
     g = simhash_dedup.Golay()
     p = g.patterns
