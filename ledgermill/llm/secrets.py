@@ -34,9 +34,6 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is always found from
 
 KINDS = ("assign", "access", "hex", "lexed")
 
-#: What a text must hold (lower case) for the lexer to find a sensitive name.
-_HINTS = ("passw", "passp", "pwd", "secret", "token", "apikey", "api_key", "api-key", "credential",
-          "private_key", "privatekey", "private-key", "access_key", "accesskey", "access-key", "auth")
 #: Sensitivity of a target name by the words in it.
 _WEIGHT = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 1.0,
            "credential": 0.9, "credentials": 0.9, "auth": 0.7, "authtoken": 1.0, "accesskey": 0.9, "privatekey": 1.0}
@@ -45,7 +42,9 @@ _NOT_SECRET = re.compile(
     r"(?i)example|changeme|placeholder|your[_-]|dummy|sample|redacted|^x+$|^\*+$|^(none|null|true|false|undefined)$"
 )
 _LEX = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][\w.-]*)(?P=q)[ \t]*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*"""
+    # a run of name characters is tried from its first letter only, so long runs stay linear
+    r"""(?:(?P<q>["'])(?P<name>[A-Za-z_][\w.-]*+)(?P=q)|(?<![\w.-])[\d.-]*+(?P<bare>[A-Za-z_][\w.-]*+))"""
+    r"""[ \t]*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*"""
     r"""(?=(?P<first>["'`$\w]))""",
     re.ASCII,
 )
@@ -93,7 +92,8 @@ def lexed(text: str) -> dict[tuple[int, int], float]:
     known: dict[str, frozenset] = {}
     score: dict[tuple[int, int], float] = {}
     for m in _LEX.finditer(text):
-        at, parts, weight = m.end(), set(), sensitivity(m["name"])
+        name = m["name"] or m["bare"]
+        at, parts, weight = m.end(), set(), sensitivity(name)
         while t := _TERM.match(text, at):
             at = t.end()
             if t["str"] is not None:
@@ -108,7 +108,7 @@ def lexed(text: str) -> dict[tuple[int, int], float]:
             if not (p := _PLUS.match(text, at)):
                 break
             at = p.end()
-        known[m["name"]] = frozenset(parts)
+        known[name] = frozenset(parts)
         if weight:
             for span in parts:
                 value = weight * randomness(text[slice(*span)])
@@ -133,7 +133,7 @@ def scan(text: str | None) -> list[Span]:
     if "AKIA" in text:
         found += [Span(*m.span(), "access", *m.span(), 1.0) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [Span(*m.span(), "hex", *m.span(), 1.0) for m in _HEX.finditer(text)]
-    if ("=" in text or ":" in text) and any(k in low for k in _HINTS):
+    if "=" in text or ":" in text:  # no gate by words: a sensitive name can be split anywhere (pass.word)
         base = [(s.start, s.end) for s in found]
         found += [
             Span(a, b, "lexed", a, b, v)

@@ -41,6 +41,14 @@ def test_base_spans_and_lexer():
     assert "Zx9$kLm2Qp7Rt4" not in secrets.redact(t) and "f" * 40 not in secrets.redact(t)
 
 
+@pytest.mark.parametrize("name", ["cloud.access.key", "api.key", "private.key", "pass_phrase", "pass_word", "p.w.d", "1x.auth-key"])
+def test_no_sensitive_name_is_hidden(name):
+    assert secrets.sensitivity(name) > 0
+    for t in (f"{name}=Zk39dkQpL0aa91Xx", f"base: Zk39dkQpL0aa91Xx\n{name} = base"):
+        assert [t[s.start : s.end] for s in secrets.scan(t) if s.kind == "lexed"] == ["Zk39dkQpL0aa91Xx"]
+        assert "Zk39dkQpL0aa91Xx" not in secrets.redact(t)
+
+
 def test_constants_join_and_placeholders_are_no_secrets():
     t = 'p = "aB3dE5"\nclient_secret = p + "gH7jK9"\nsecret_name = "changeme"\nuser_password = "your_password_here1"'
     lexed = {t[s.start : s.end] for s in secrets.scan(t) if s.kind == "lexed"}
