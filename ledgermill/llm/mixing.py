@@ -2,7 +2,9 @@
 
 Documents are added up to cells (source, language, topic); the cells' token weights are scaled to the
 target shares of each margin in turn until all three hold. A document is then kept with its cell's
-calibrated probability: the share of the token budget that the cell should have over what it has.
+calibrated probability: the share of the token budget that the cell should have over what it has. Where a cell
+should have more than it has, all of it is kept and the rest of its share stays undrawn, so the sample then misses
+its margins and falls short of the budget; `achieved` tells by how much.
 """
 
 from __future__ import annotations
@@ -110,6 +112,18 @@ def calibrated(docs: DataFrame, budget: float = BUDGET, targets: dict[str, dict[
     return rows, raked
 
 
+def achieved(docs: DataFrame, **how) -> DataFrame:
+    """margin, value, target (raked share), kept_share (expected share of the sample's tokens) and budget_share
+    (expected tokens over the whole budget; its sum over a margin is the part of the budget that is drawn)."""
+    rows, raked = calibrated(docs, **how)
+    cells = cut(cells_of(rows).join(raked, list(MARGINS)).withColumn("drawn", F.col("tokens") * F.col("probability")))
+    whole = cells.agg(F.sum("tokens").alias("_all"), F.sum("drawn").alias("_drawn"))
+    sums = [cells.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.sum("weight").alias("target"), F.sum("drawn").alias("drawn")) for m in MARGINS]
+    budget = F.lit(float(how.get("budget", BUDGET)))
+    return reduce(DataFrame.unionByName, sums).crossJoin(F.broadcast(whole)).select(  # one row joined
+        "margin", "value", "target", (F.col("drawn") / F.col("_drawn")).alias("kept_share"), (F.col("drawn") / (budget * F.col("_all"))).alias("budget_share"))
+
+
 def draw(doc_id: Column) -> Column:
     """Uniform in [0, 1): the first 32 bits of the id's md5."""
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

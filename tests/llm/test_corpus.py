@@ -482,6 +482,17 @@ def test_mixing_documents(spark):
     assert mixing.sample(empty(spark)).count() == 0 and mixing.keep_sampled(empty(spark)).count() == 0
 
 
+def test_missed_margins_are_reported(spark):
+    rows = [(i, "word " * 40, "en", "big" if i else "small", 200, i, None, i) for i in range(100)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {(r.margin, r.value): r for r in mixing.achieved(d).collect()}
+    small, big = got["source", "small"], got["source", "big"]
+    assert abs(small.target - 1 / (1 + 99**0.5)) < 1e-9 and abs(small.budget_share - 0.02) < 1e-9  # all of it, still too little
+    assert abs(big.target + small.target - 1) < 1e-9 and abs(big.budget_share - big.target) < 1e-9
+    assert abs(sum(r.kept_share for k, r in got.items() if k[0] == "source") - 1) < 1e-9 and small.kept_share < small.target
+    assert mixing.achieved(empty(spark)).count() == 0
+
+
 # -- fingerprints --
 
 
