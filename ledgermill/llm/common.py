@@ -8,14 +8,27 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+MAX_BROADCAST_GROUPS = 100_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TEXTS_PER_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a thousand at a time: ten thousand, as is usual, are some tens of MB in each of two
+    processes. A session that asks for fewer keeps its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS_PER_BATCH:
+        spark.conf.set(name, TEXTS_PER_BATCH)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the folder that the cluster names; set one only where none is (local tests)."""
     sc = spark.sparkContext
@@ -32,6 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hashed_first(rows: DataFrame, group: str, most: Column | int) -> DataFrame:
+    """At most `most` rows of each value of `group`, in order of a hash of doc_id (equal ids in any order).
+
+    The counts of the groups come first; rows whose hash lies far beyond the share that a group may keep are
+    dropped where they are read, so what is ranked stays near the bound however large a group or the table is.
+    """
+    limit = F.lit(most) if isinstance(most, int) else most
+    n = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    if n.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
+        n = F.broadcast(n)
+    drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / F.lit(float(1 << 53))
+    likely = rows.join(n, group).withColumn("_u", drawn).where(F.col("_u") * F.col("_n") <= limit + 8 * F.sqrt(limit.cast("double")) + 64)
+    w = Window.partitionBy(group).orderBy("_u", "doc_id")
+    return likely.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= limit).select(*rows.columns)
+
+
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A batch function whose worker gives its freed memory back when the task ends: workers live on, and the
     next stage's share the executor with them."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import hashed_first, lean
 
 UNDETERMINED = "und"
 SIZES = (2, 3, 4)
@@ -43,6 +43,11 @@ def _letters() -> np.ndarray:
     return _TABLE[0]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a code point is a letter; numerals such as a half or a circled one are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def gram_hashes(text: str, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
     """64-bit hashes of the n-grams of letters; a word's edge counts as one boundary mark."""
     cps = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -107,7 +112,7 @@ class LanguageModel:
         return np.clip((out - self.chance) / np.maximum(1 - self.chance, 1e-9), 0, 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0
         s = self.shares(text)
         if not s.any():
@@ -132,12 +137,11 @@ def is_held_out(doc_id) -> F.Column:
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """(lang, text): at most `per_language` labelled rows of each language, in order of a hash of the id.
 
-    Ids and languages alone are ranked (each task keeps its own first rows before any shuffle); texts
-    are then fetched for the chosen ids, at most languages x per_language.
+    Ids and languages alone are ranked; texts are then fetched for the chosen ids. Rows that repeat a chosen
+    id and its language all take part.
     """
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.select("lang", "doc_id").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_language)
+    chosen = hashed_first(ids.select("lang", "doc_id"), "lang", per_language)
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     if chosen.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         chosen = F.broadcast(chosen)  # with very many languages the join is shuffled instead
@@ -199,7 +203,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
-    """The rows whose language can be told (not `und`), all columns as they are, without a shuffle."""
+    """The rows whose language can be told (not `und`), all columns as they are, without a shuffle.
+
+    Null texts and texts without a letter go; with nothing to learn from (no labelled row) every row goes.
+    Repeated rows stay or go together. An empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
