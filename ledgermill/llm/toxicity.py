@@ -23,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean
+from .common import cut, hashed_first, lean
 from .langid import is_held_out
 
 MAX_TOXIC, MAX_CLEAN = 6_000, 12_000  # labelled documents that features are counted on
-MAX_FIT, MAX_FIT_TOKENS = 1_500, 3_000  # documents of each label that the chain is fitted to, and their length
+MAX_FIT, MAX_FIT_CHARS = 1_500, 8_000_000  # documents of each label that the chain is fitted to, and all their characters
 THRESHOLD = 0.3
 SEGMENT = 128
 TOKENS_AT_ONCE = 400_000
@@ -62,6 +62,7 @@ def marginals(emission: np.ndarray, starts: np.ndarray, log_transition: np.ndarr
     length = np.minimum(SEGMENT, starts[1:][text] - begin)
     order = np.argsort(-length, kind="stable")
     begin_o, length_o = begin[order], length[order]
+    opening = (nth == 0)[order][:, None]  # the first token of a text has no transition before it
     active = [int(np.searchsorted(-length_o, -t, side="left")) for t in range(SEGMENT)]
     # transfer matrix of each segment: m[i, j] from the tag before it to the tag of its last token
     m = np.zeros((len(order), 2, 2))
@@ -71,23 +72,24 @@ def marginals(emission: np.ndarray, starts: np.ndarray, log_transition: np.ndarr
             break
         x = e[begin_o[:k] + t]
         c0 = m[:k, :, 0] * a[0, 0] + m[:k, :, 1] * a[1, 0]
-        c1 = (m[:k, :, 0] * a[0, 1] + m[:k, :, 1] * a[1, 1]) * x[:, None]
+        c1 = m[:k, :, 0] * a[0, 1] + m[:k, :, 1] * a[1, 1]
+        if not t:
+            c0, c1 = np.where(opening[:k], m[:k, :, 0], c0), np.where(opening[:k], m[:k, :, 1], c1)
+        c1 = c1 * x[:, None]
         top = np.maximum(c0, c1).max(axis=1)[:, None]
         m[:k, :, 0], m[:k, :, 1] = c0 / top, c1 / top
     seg = np.empty_like(m)
     seg[order] = m
-    # what stands before (fore) and after (back) each segment, over the tags; the first token has no
-    # transition, so a virtual tag before it is chosen such that fore @ a gives the start weights
+    # what stands before (fore) and after (back) each segment, over the tags
     fore, back = np.zeros((len(text), 2)), np.ones((len(text), 2))
     s = np.exp(log_start - log_start.max())
-    virtual = np.linalg.solve(a.T, s)
     by_nth = np.argsort(nth, kind="stable")
     bounds = np.searchsorted(nth[by_nth], np.arange(int(nth.max()) + 2))
-    fore[by_nth[: bounds[1]]] = virtual
+    fore[by_nth[: bounds[1]]] = s
     for t in range(1, len(bounds) - 1):
         i = by_nth[bounds[t] : bounds[t + 1]]
         v = np.einsum("ni,nij->nj", fore[i - 1], seg[i - 1])
-        fore[i] = v / np.abs(v).max(axis=1, keepdims=True)
+        fore[i] = v / v.max(axis=1, keepdims=True)
     for t in range(len(bounds) - 2, 0, -1):
         i = by_nth[bounds[t] : bounds[t + 1]]
         v = np.einsum("nij,nj->ni", seg[i], back[i])
@@ -99,8 +101,11 @@ def marginals(emission: np.ndarray, starts: np.ndarray, log_transition: np.ndarr
             break
         at = begin_o[:k] + t
         c0 = f[:k, 0] * a[0, 0] + f[:k, 1] * a[1, 0]
-        c1 = (f[:k, 0] * a[0, 1] + f[:k, 1] * a[1, 1]) * e[at]
-        top = np.maximum(np.abs(c0), np.abs(c1))
+        c1 = f[:k, 0] * a[0, 1] + f[:k, 1] * a[1, 1]
+        if not t:
+            c0, c1 = np.where(opening[:k, 0], f[:k, 0], c0), np.where(opening[:k, 0], f[:k, 1], c1)
+        c1 = c1 * e[at]
+        top = np.maximum(c0, c1)
         f[:k, 0], f[:k, 1] = c0 / top, c1 / top
         ratio[at] = f[:k, 1] / np.maximum(f[:k, 0], 1e-300)
     b = back[order]
@@ -144,12 +149,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(inputs @ self.calibration, -30, 30)))
 
 
-def _fit_chain(texts: list[list[list[int]]], tags: list[np.ndarray], size: int, rounds: int = 40):
-    """Adam on the chain's log likelihood. texts: per token the known feature numbers."""
-    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    token = np.concatenate([np.repeat(np.arange(a, a + len(t)), [len(x) for x in t]) for a, t in zip(starts, texts, strict=False)]).astype(np.int64)
-    feature = np.array([f for t in texts for x in t for f in x], dtype=np.int64)
-    y = np.concatenate(tags).astype(np.float64)
+def _fit_chain(starts: np.ndarray, token: np.ndarray, feature: np.ndarray, y: np.ndarray, size: int, rounds: int = 40):
+    """Adam on the chain's log likelihood. starts: where each text's tokens begin; (token, feature): which token has
+    which feature number; y: tags."""
     w, bias, trans, start = np.zeros(size), -4.0, np.zeros((2, 2)), np.zeros(2)
     begins = np.zeros(len(y), bool)
     begins[starts[:-1][np.diff(starts) > 0]] = True
@@ -192,14 +194,17 @@ def _sketches(text: str) -> tuple[int, int]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
-    """(doc_id, text, toxic): a bounded sample of labelled rows by hash of the id, near copies once."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
+    """(doc_id, text, toxic): a bounded sample of labelled rows by hash of the id, near copies once.
+
+    Labels other than 0 and 1 and null ids don't count; an id with both labels is toxic; null texts go. Of rows
+    that repeat an id or nearly a text the one with the least id, then text, stays.
+    """
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = own.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(w)).where(
-        ((F.col("toxic") == 1) & (F.col("nth") <= max_toxic)) | ((F.col("toxic") == 0) & (F.col("nth") <= max_clean)))
-    chosen = chosen.select("doc_id", "toxic")  # at most max_toxic + max_clean rows
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = hashed_first(known, "toxic", F.when(F.col("toxic") == 1, max_toxic).otherwise(max_clean))  # at most max_toxic + max_clean rows
+    src = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = src.join(F.broadcast(chosen), "doc_id")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,13 +215,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
 
     kept = rows.select("doc_id", "text", "toxic").mapInArrow(lean(sketch), "doc_id long, text string, toxic int, s1 long, s2 long")
     for s in ("s1", "s2"):
-        w = Window.partitionBy(s, "toxic").orderBy("doc_id")
+        w = Window.partitionBy(s, "toxic").orderBy("doc_id", "text")
         kept = kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     return kept.select("doc_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Learn from the bounded sample of `training_rows`; only ids, texts and `toxic` are read.
 
+    The chain and the calibration are fitted to the sample's first MAX_FIT documents of each label by hash of the
+    id, as far as those before a document have less than MAX_FIT_CHARS characters; whole texts, however long.
+    Without labelled texts of both labels, or without a feature that tells them apart, the model gives
+    every text the share of toxic labels (0 without labels).
+    """
     rows = cut(training_rows(docs, labels))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
     of = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = of.get(1, 0), of.get(0, 0)
-    prior = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"))).agg(F.avg("toxic").alias("p")).first()["p"] or 0.0
+    prior = labels.where(F.col("toxic").cast("int").isin(0, 1) & ~is_held_out(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("int")).alias("p")).first()["p"] or 0.0
     nothing = ToxicityModel({}, -6.0, np.log(np.full((2, 2), 0.5) + [[0.4, -0.4], [0.0, 0.0]]), np.log(np.array([0.9, 0.1])),
                             np.array([np.log((prior + 1e-4) / (1 - prior + 1e-4)), 0.0, 0.0]))
     if not n_toxic or not n_clean:
@@ -250,28 +261,38 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     number = {int(f): i for i, f in enumerate(table["f"])}
     seed = ((table["odds"] >= 2.5) & (table["t"] >= least)).to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(number)
-    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"))
-    few = rows.where(F.length("text") <= MAX_FIT_TOKENS * 6).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= MAX_FIT)
+    w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "text")  # of the bounded sample
+    before = F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = rows.withColumns({"nth": F.row_number().over(w), "before": before}).where((F.col("nth") <= MAX_FIT) & (F.col("before") < MAX_FIT_CHARS))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, kept = shared.value, {}
         for b in batches:
-            out = []
+            sizes, held = [], []
             for text in b.column(1).to_pylist():
-                words = _TOKEN.findall(text.lower())[: MAX_FIT_TOKENS * 6]
+                words = _TOKEN.findall(text.lower())
                 for x in words:
                     if x not in kept:
                         kept[x] = [known[f] for f in features(x) if f in known]
-                out.append([kept[x] for x in words])
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["toxic", "tokens"])
-
-    fit = few.select("doc_id", "text", "toxic").mapInArrow(lean(encode), "toxic int, tokens array<array<int>>").toArrow()
-    texts, y = [x for x in fit["tokens"].to_pylist()], np.array(fit["toxic"].to_pylist(), dtype=np.float64)
-    tags = [np.array([float(label == 1 and any(seed[f] for f in x)) for x in t]) for t, label in zip(texts, y, strict=True)]
-    weights, bias, trans, start = _fit_chain(texts, tags, len(number))
+                sizes.append(np.array([len(kept[x]) for x in words], dtype=np.int32))
+                held.append(np.array([f for x in words for f in kept[x]], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int32()))], names=["doc_id", "toxic", "sizes", "held"])
+
+    fit = few.select("doc_id", "text", "toxic").mapInArrow(lean(encode), "doc_id long, toxic int, sizes array<int>, held array<int>").toArrow()
+    order = np.lexsort((fit["toxic"].to_numpy(), fit["doc_id"].to_numpy()))  # whatever the partitions were
+    fit = fit.take(pa.array(order)).combine_chunks()
+    y = fit["toxic"].to_numpy().astype(np.float64)
+    flat = lambda name: np.concatenate([x.values.to_numpy(zero_copy_only=False) for x in fit[name]] or [np.zeros(0)]).astype(np.int64)
+    sizes, feature = flat("sizes"), flat("held")
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in fit["sizes"]]))).astype(np.int64)
+    token = np.repeat(np.arange(len(sizes)), sizes)
+    hot = np.bincount(token, weights=seed[feature], minlength=len(sizes)) > 0
+    tags = (hot & (np.repeat(y, np.diff(starts)) == 1)).astype(np.float64)
+    if not len(sizes):
+        return nothing
+    weights, bias, trans, start = _fit_chain(starts, token, feature, tags, len(number))
     model = ToxicityModel({f: float(weights[i]) for f, i in number.items() if abs(weights[i]) > 1e-3}, bias, trans, start, np.zeros(3))
-    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-    emission = np.array([bias + sum(weights[f] for f in x) for t in texts for x in t])
+    emission = bias + np.bincount(token, weights=weights[feature], minlength=len(sizes))
     inputs = model.aggregate(marginals(emission, starts, trans, start), starts)
     share = y.mean()
     weight = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
