@@ -25,8 +25,8 @@ BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # (shift,
 TABLES = tuple(itertools.combinations(range(len(BLOCKS)), 3))
 LANES = 0x0000000100000001
 ROWS_PER_BUCKET = 4_000
-MAX_BUCKETS = 16_384
 MAX_QUANTILES = 64
+MAX_BROADCAST_BUCKETS = 100_000
 
 
 def _terms(text: Column) -> Column:
@@ -84,27 +84,27 @@ def neighbours(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return a.join(b, "key").where(near).select("a", "b")
 
 
-def _bucket(ids: DataFrame, c: Column) -> Column:
-    """An expression that cuts the range of ids into ordered buckets of about like size.
+def _bucket(ids: DataFrame, c: Column) -> tuple[Column, int]:
+    """(an expression that cuts the range of ids into ordered buckets of about ROWS_PER_BUCKET, buckets in a quantile).
 
-    Quantiles (at most MAX_QUANTILES) first, even steps between two of them. There are at most
-    MAX_BUCKETS buckets, however many rows; null ids get -1.
+    Quantiles (at most MAX_QUANTILES) first, then even steps between two of them, as many as the rows ask for, so that
+    buckets stay of like size however large the table is. Null ids get -1.
     """
-    seen = ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
-    parts = min(max(1, -(-seen["n"] // ROWS_PER_BUCKET)), MAX_BUCKETS)
+    at = [i / MAX_QUANTILES for i in range(1, MAX_QUANTILES)]
+    seen = ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", at, 10_000).alias("q")).first()
+    parts = max(1, -(-seen["n"] // ROWS_PER_BUCKET))
     if parts == 1 or seen["lo"] is None:
-        return F.when(c.isNull(), -1).otherwise(0)
+        return F.when(c.isNull(), -1).otherwise(0).cast("long"), 1
     cuts = min(parts, MAX_QUANTILES)
     steps = -(-parts // cuts)
-    at = [i / cuts for i in range(1, cuts)] or [0.5]
-    inner = ids.agg(F.percentile_approx("doc_id", at, 10_000).alias("q")).first()["q"]
+    inner = {seen["q"][round(i * MAX_QUANTILES / cuts) - 1] for i in range(1, cuts)}
     edges = sorted({seen["lo"], *inner, seen["hi"] + 1})
 
     def within(i: int) -> Column:
         if steps == 1:
-            return F.lit(i)
+            return F.lit(i).cast("long")
         part = F.floor((c.cast("double") - float(edges[i])) * steps / max(1.0, float(edges[i + 1] - edges[i])))
-        return F.lit(i * steps) + F.greatest(F.lit(0), F.least(part.cast("int"), F.lit(steps - 1)))
+        return F.lit(i * steps) + F.greatest(F.lit(0), F.least(part.cast("long"), F.lit(steps - 1)))
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -112,28 +112,45 @@ def _bucket(ids: DataFrame, c: Column) -> Column:
         mid = (lo + hi) // 2 + 1
         return F.when(c >= F.lit(edges[mid]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
 
-    return F.when(c.isNull(), -1).otherwise(tree(0, len(edges) - 2))
+    return F.when(c.isNull(), -1).otherwise(tree(0, len(edges) - 2)).cast("long"), steps
 
 
-def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text, edited, bucket, rn for each row.
+def _beside(heads: DataFrame, steps: int, value: str, up: bool) -> DataFrame:
+    """heads (bucket, value, ...) and `beside`: the value of the next higher bucket that has rows (up) or of the next lower
+    one; beyond the end the other end's. Buckets are looked at quantile by quantile; only a quantile's two ends meet
+    on the driver, at most MAX_QUANTILES + 1 rows."""
+    heads = heads.withColumn("group", F.floor(F.col("bucket") / steps))
+    order = Window.partitionBy("group").orderBy(F.col("bucket") if up else F.desc("bucket"))
+    first = F.min_by(value, "bucket") if up else F.max_by(value, "bucket")
+    ends = [(r["group"], r["v"]) for r in heads.groupBy("group").agg(first.alias("v")).orderBy("group" if up else F.desc("group")).collect()]
+    over = [(g, ends[(i + 1) % len(ends)][1]) for i, (g, _) in enumerate(ends)]
+    across = heads.sparkSession.createDataFrame(over, f"group long, over {heads.schema[value].dataType.simpleString()}")
+    placed = heads.withColumn("by", F.lead(value).over(order)).join(F.broadcast(across), "group")
+    return placed.withColumn("beside", F.coalesce("by", "over")).drop("group", "by", "over")
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """A table of a row a bucket: broadcast while it is small, else joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_BUCKETS + 1).count() <= MAX_BROADCAST_BUCKETS else rows
+
+
+def edited(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text, next_text, edited, bucket, rn for each row; buckets in a quantile).
 
     `next` goes down by doc_id (nulls last; rows of one id by text), after the last comes the first.
     Ids are cut into ranges of like size; a range is sorted by itself and gets the first row of the one
     below as a guest, so texts are moved once and no task sees the whole order.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    src = src.withColumn("bucket", _bucket(ids, F.col("doc_id")).cast("int"))
+    bucket, steps = _bucket(ids, F.col("doc_id"))
+    src = src.withColumn("bucket", bucket)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    heads = src.groupBy("bucket").agg(F.max("doc_id").alias("top"))  # a row per bucket
-    heads = [(r["bucket"], r["top"]) for r in heads.orderBy(F.desc("bucket")).collect()]
-    if not heads:
-        return src.select("doc_id", "text", F.col("text").alias("next_text"), F.col("text").alias("edited"), "bucket", F.lit(1).alias("rn"))
-    above = {heads[(i + 1) % len(heads)][0]: heads[i][0] for i in range(len(heads))}  # bucket -> the one before it
-    guests = spark.createDataFrame([(b, top, above[b]) for b, top in heads], "gb int, top long, into int")
-    guest = src.join(F.broadcast(guests), F.expr("bucket = gb and doc_id <=> top"))
+    heads = cut(src.groupBy("bucket").agg(F.max("doc_id").alias("top")))  # a row a bucket
+    if heads.isEmpty():
+        return src.select("doc_id", "text", F.col("text").alias("next_text"), F.col("text").alias("edited"), "bucket", F.lit(1).alias("rn")), steps
+    guests = cut(_beside(heads.withColumn("own", F.col("bucket")), steps, "own", up=True).select(F.col("bucket").alias("gb"), "top", F.col("beside").alias("into")))
+    guest = src.join(_small(guests), F.expr("bucket = gb and doc_id <=> top"))
     w1 = Window.partitionBy("gb").orderBy(*order)
     guest = guest.withColumn("_n", F.row_number().over(w1)).where("_n = 1")
     guest = guest.select("doc_id", "text", F.col("into").alias("bucket"), F.lit(1).alias("guest"))
@@ -142,7 +159,7 @@ def edited(docs: DataFrame) -> DataFrame:
     nxt = both.withColumn("next_text", F.lead("text").over(w)).withColumn("rn", F.row_number().over(w)).where("guest = 0")
     keep = F.length("text") - F.floor(F.length("text") / 3)
     changed = F.concat(F.substring(F.col("text"), F.lit(1), keep.cast("int")), F.substring(F.col("next_text"), F.lit(1), F.floor(F.length("text") / 3).cast("int")))
-    return nxt.select("doc_id", "text", "next_text", changed.alias("edited"), "bucket", "rn")
+    return nxt.select("doc_id", "text", "next_text", changed.alias("edited"), "bucket", "rn"), steps
 
 
 def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -152,7 +169,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Null texts are empty; a text without words has fingerprint 0. Equal texts have equal fingerprints.
     A single document is its own next. An empty table gives no rows. Other columns are ignored.
     """
-    base = edited(docs)
+    base, steps = edited(docs)
     # original and edited text as rows 0 and 1 of each document; `next` is read off the neighbour's row
     keys = ["bucket", "rn", "which", "doc_id", "n_chars", "sha"]
     pair = F.explode(F.array(
@@ -163,12 +180,10 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     own = voted.groupBy("bucket", "rn", "doc_id", "n_chars", "sha").agg(
         F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("fe"))
     own = cut(own)
-    last = own.groupBy("bucket").agg(F.max("rn").alias("last"), F.max(F.when(F.col("rn") == 1, F.col("fp"))).alias("head"))
-    heads = [(r["bucket"], r["last"], r["head"]) for r in last.orderBy(F.desc("bucket")).collect()]
-    after = docs.sparkSession.createDataFrame(
-        [(b, n, heads[(i + 1) % len(heads)][2]) for i, (b, n, _) in enumerate(heads)], "bucket int, rn int, over long")
+    last = cut(own.groupBy("bucket").agg(F.max("rn").alias("rn"), F.max(F.when(F.col("rn") == 1, F.col("fp"))).alias("head")))
+    after = cut(_beside(last, steps, "head", up=False).select("bucket", "rn", F.col("beside").alias("over")))
     w = Window.partitionBy("bucket").orderBy("rn")
-    own = own.withColumn("_lead", F.lead("fp").over(w)).join(F.broadcast(after), ["bucket", "rn"], "left")
+    own = own.withColumn("_lead", F.lead("fp").over(w)).join(_small(after), ["bucket", "rn"], "left")
     own = own.withColumn("fn", F.coalesce("_lead", "over"))
     pairs = neighbours(own.select("fp"), radius)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("_fp")).groupBy("_fp").agg(F.count("*").alias("n_near"))
