@@ -7,19 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, chat, fingerprints, langid, mixing, secrets, sentencepiece_sampling, simhash_dedup, token_counts, toxicity
-from .common import table
+from .common import small_batches, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_documents(table(spark, sf_dir, "documents"))
+    return secrets.scan_documents(documents(spark, sf_dir))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_sampling.sample_documents(table(spark, sf_dir, "documents"))
+    return sentencepiece_sampling.sample_documents(documents(spark, sf_dir))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +32,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(documents(spark, sf_dir))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,22 +40,22 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(documents(spark, sf_dir))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    return mixing.sample(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+    return mixing.sample(documents(spark, sf_dir)).withColumn("probability", F.round("probability", 6))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
 
 
 def _op6_sql() -> str:
@@ -83,21 +88,26 @@ def _op9_sql() -> str:
     for i in range(mixing.ROUNDS * len(mixing.MARGINS)):
         m = mixing.MARGINS[i % 3]
         steps.append(
-            f"w{i + 1} AS MATERIALIZED (SELECT w{i}.* EXCLUDE (w), w * g.target / sum(w) OVER (PARTITION BY w{i}.{m}) AS w FROM w{i} JOIN goal_{m} g USING ({m}))"
+            f"w{i + 1} AS MATERIALIZED (SELECT w{i}.* EXCLUDE (w), least(w * g.target / sum(w) OVER (PARTITION BY w{i}.{m}), most) AS w FROM w{i} JOIN goal_{m} g USING ({m}))"
         )
     goals = [
         f"goal_{m} AS (SELECT {m}, pow(sum(tokens), {mixing.TEMPERATURE}) / sum(pow(sum(tokens), {mixing.TEMPERATURE})) OVER () AS target FROM cells GROUP BY {m})"
         for m in mixing.MARGINS
     ]
+    some = lambda letters: " OR ".join(f"contains(text, '{x}')" for x in letters)
     return f"""
-WITH rows AS (
+WITH counted AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+rows AS (
   SELECT doc_id, coalesce(source, '{mixing.NONE}') AS source, coalesce(lang, '{mixing.NONE}') AS lang,
-         CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'table' WHEN contains(coalesce(text, ''), '!! ') THEN 'shout'
-              WHEN contains(coalesce(text, ''), '%%%') OR contains(coalesce(text, ''), '###') OR contains(coalesce(text, ''), '$$$')
-                OR contains(coalesce(text, ''), '&&&') THEN 'noise' ELSE 'prose' END AS topic,
-         greatest(1, ceil(length(coalesce(text, '')) / 4.0))::BIGINT AS tokens
-  FROM documents
-), cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM rows GROUP BY ALL),
+         CASE WHEN (contains(text, '|') OR contains(text, chr(9))) AND (2 * n - length(replace(text, '|', '')) - length(replace(text, chr(9), ''))) * 50 >= n THEN 'table'
+              WHEN NOT ({some("aeiou")}) THEN CASE WHEN {some("AEIOU")} THEN 'shout' ELSE 'other' END
+              WHEN n < 200 THEN 'short' WHEN n >= 5000 THEN 'long' ELSE 'prose' END AS topic,
+         greatest(1, ceil(n / 4.0))::BIGINT AS tokens
+  FROM counted
+), cells AS MATERIALIZED (
+  SELECT *, tokens / sum(tokens) OVER () / {mixing.BUDGET} AS most
+  FROM (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM rows GROUP BY ALL)
+),
 {", ".join(goals)},
 {", ".join(steps)},
 last AS (SELECT source, lang, topic, least(1.0, {mixing.BUDGET} * sum(tokens) OVER () * w / tokens) AS p FROM w{mixing.ROUNDS * 3})
