@@ -184,16 +184,32 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 
 # Near copies that differ in more than three bits: a copy with one word in fifty changed keeps four in
 # five of its five-word shingles, but its shingle fingerprint is some ten bits away. Their candidates are
-# MinHash bands of the five-word shingles: a pair that shares COPY_SIMILARITY of them has no band in
-# common with probability (1 - 0.8^5)^24 = 7e-5, whatever was changed in it and however long it is.
+# MinHash bands of the five-word shingles: a pair that shares 0.8 of them has no band in common with
+# probability (1 - 0.8^5)^24 = 7e-5, whatever was changed in it and however long it is.
 
-COPY_WORDS, COPY_SIMILARITY = 5, 0.8
+COPY_WORDS = 5
 BANDS, BAND_ROWS = 24, 5
+BLOCK = 512  # members of a key that a task compares with as many others at once
+SHINGLES_AT_ONCE = 4096
 MAX_BROADCAST_IDS = 1_000_000
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
 _TIMES, _PLUS = _DRAWN[0] << np.uint64(1) | np.uint64(1), _DRAWN[1]
 
 
+def _words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").translate(_LOWER))
+
+
+def _digests(w: list[str], words: int) -> list[int]:
+    digest = xxhash.xxh64_intdigest
+    parts = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [w]
+    return [digest(" ".join(p).encode("utf-8", "surrogatepass"), SEED) for p in parts]
+
+
+def _same(w: list[str]) -> bytes:
+    return xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass"))
+
+
 def band_keys(words: list[str]) -> list[int]:
     """BANDS keys of the set of five-word shingles (lower-case words); none without words."""
     if not words:
@@ -206,21 +222,14 @@ def band_keys(words: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest(own[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
 
 
-def _digests(w: list[str], words: int) -> list[int]:
-    digest = xxhash.xxh64_intdigest
-    parts = zip(*(w[i:] for i in range(words)), strict=False) if len(w) >= words else [w]
-    return [digest(" ".join(p).encode("utf-8", "surrogatepass"), SEED) for p in parts]
-
-
 def _sketch_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, same, keys = [], [], []
             for t in b.column(1):
-                text = (t.as_py() or "").translate(_LOWER)
-                w = _WORD.findall(text)
+                w = _words(t.as_py())
                 fps.append(majority(_digests(w, words) if w else []))
-                same.append(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")))
+                same.append(_same(w))
                 keys.append(band_keys(w))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -230,72 +239,158 @@ def _sketch_batches(words: int):
     return run
 
 
-def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Edges (a, b) that join what shares four in five five-word shingles. nodes: node (a doc_id), base, keys.
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text, same) -> (node, distinct shingles) of the rows whose text is the node's."""
+    for b in batches:
+        nodes, shingles = [], []
+        for node, text, same in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            if _same(w := _words(text.as_py())) == same:
+                nodes.append(node)
+                shingles.append(np.unique(np.array(_digests(w, COPY_WORDS), dtype=np.uint64)).view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+
+def alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) booleans: the two sets share four in five of their union. Exact; products of 0/1 matrices."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(a, b)
+    both = np.zeros((len(left), len(right)))
+    own = []
+    for sets, flat in ((left, a), (right, b)):
+        at = np.searchsorted(common, flat)
+        ok = at < len(common)
+        ok[ok] = common[at[ok]] == flat[ok]
+        row, at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[ok], at[ok]
+        order = np.argsort(at, kind="stable")
+        own.append((row[order], at[order]))
+    for low in range(0, len(common), SHINGLES_AT_ONCE):
+        part = []
+        for sets, (row, at) in zip((left, right), own, strict=True):
+            i, j = np.searchsorted(at, [low, low + SHINGLES_AT_ONCE])
+            m = np.zeros((len(sets), min(SHINGLES_AT_ONCE, len(common) - low)), dtype=np.float32)
+            m[row[i:j], at[i:j] - low] = 1
+            part.append(m)
+        both += part[0] @ part[1].T
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    return 9 * both >= 4 * sizes
+
+
+def _block_links(rows: list[tuple[bool, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Pairs of roots that a block joins, no more than make its roots hang together. rows: asks, root, shingles."""
+    asks, held = [r for r in rows if r[0]], [r for r in rows if not r[0]]
+    if not asks or not held:
+        return []
+    x, y = np.array([r[1] for r in asks]), np.array([r[1] for r in held])
+    i, j = np.nonzero(alike([r[2] for r in asks], [r[2] for r in held]) & (x[:, None] != y[None, :]))
+    pairs = np.unique(np.stack([np.minimum(x[i], y[j]), np.maximum(x[i], y[j])], axis=1), axis=0).tolist()
+    above: dict[int, int] = {}
+
+    def top(n: int) -> int:
+        while n in above:
+            n = above[n]
+        return n
+
+    out = []
+    for a, b in pairs:
+        p, q = top(a), top(b)
+        if p != q:
+            above[max(p, q)] = min(p, q)
+            out.append((a, b))
+    return out
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, i, j): those of one block are held together, at most some 2 x BLOCK."""
+    now, rows = None, []
+
+    def joined() -> pa.RecordBatch:
+        found = _block_links(rows)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for b in batches:
+        blocks = zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)
+        for n, (block, asks, root) in enumerate(zip(blocks, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            if block != now and rows:
+                yield joined()
+                rows = []
+            now = block
+            rows.append((asks, root, np.array(b.column(5)[n].values)))
+    if rows:
+        yield joined()
+
 
-    Nodes with one base are joined already. Nodes under one key are candidates. Those that share keys with the
-    most others (an original among its copies) are asked first: round r holds the members of a key against
-    2^r of them, and only where the two aren't joined yet, so that a group of copies takes a row or two a
-    member. A key ends when all of its members are joined or every pair that isn't was compared: components
-    come out as if all pairs under a key had been compared.
+def _compared(members: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Edges (a, b) between roots: every member that asks against every held one of its block (key, i, j)."""
+    rows = members.join(shingles, "node").select("key", "i", "j", "asks", "root", "shingles")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(lean(_block_batches), "a long, b long").distinct()
+
+
+def _slice(column: str, parts: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(column), parts)
+
+
+def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root): bases that near copies join, root the least. nodes: node (a doc_id), base, same, keys.
+
+    Nodes are distinct texts, those with one base are joined already; nodes under one key are candidates.
+    First each key's members are held against one of them, that with the most others under its keys (an original
+    among its copies): a row a member, whatever the size of the group. Then, under keys whose members are
+    still apart, all that aren't in the key's largest group are held against all members, block by block.
+    So components come out as if all pairs under a key had been compared, and only links that join
+    two groups leave a block.
     """
-    keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    crowd = cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
-    mates = crowd.groupBy("node").agg(F.sum("n").alias("mates"))
-    order = Window.partitionBy("key").orderBy(F.desc("mates"), "node")
-    live = crowd.join(mates, "node").withColumn("nth", F.row_number().over(order)).select("key", "node", "n", "nth")
-    live = cut(live.join(nodes.select("node", F.col("base").alias("root")), "node"))
-    need = mates.select(F.col("node").alias("_id"))
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("base").alias("root"))
+    crowd = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    need = nodes.join(crowd.select("node").distinct(), "node", "left_semi").select("node", "same")
     if need.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         need = F.broadcast(need)  # else the texts are shuffled to the ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_t")).join(need, "_id", "left_semi")
-    texts = cut(texts.groupBy("_id").agg(F.min("_t").alias("_t")))
-    edges = nodes.select(F.col("node").alias("a"), F.col("base").alias("b")).where("a <> b")
-    for r in itertools.count():
-        # what may still be joined: keys with members of several groups and ranks to come
-        apart = live.groupBy("key").agg(F.min("root").alias("_l"), F.max("root").alias("_m")).where("_l <> _m").select("key")
-        live = cut(live.join(apart, "key", "left_semi").where(F.col("n") > (1 << r)))
-        if live.isEmpty():
-            return edges
-        hubs = live.where(F.col("nth").between(1 << r, (2 << r) - 1)).select("key", F.col("node").alias("b"), F.col("root").alias("_r"), F.col("nth").alias("_h"))
-        pairs = live.join(hubs, "key").where("nth > _h and root <> _r").select(F.col("node").alias("a"), "b").distinct()
-        both = pairs.join(texts.select(F.col("_id").alias("a"), F.col("_t").alias("ta")), "a").join(texts.select(F.col("_id").alias("b"), F.col("_t").alias("tb")), "b")
-        found = cut(both.select("a", "b", "ta", "tb").mapInArrow(lean(_verified), "a long, b long"))
-        edges = edges.unionByName(found)
-        joined = live.select(F.col("node").alias("a"), F.col("root").alias("b")).distinct().unionByName(found)
-        roots = components(joined)
-        live = live.join(roots, "node", "left").select("key", "node", "n", "nth", F.coalesce(roots["root"], live["root"]).alias("root"))
-
-
-def shingle_set(text: str | None, words: int = COPY_WORDS) -> set:
-    w = _WORD.findall((text or "").translate(_LOWER))
-    return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            p, q = shingle_set(x.as_py()), shingle_set(y.as_py())
-            both = len(p & q)
-            keep.append(both >= COPY_SIMILARITY * (len(p) + len(q) - both) if p or q else True)
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(need, "node")
+    shingles = texts.select("node", "text", "same").mapInArrow(lean(_shingle_batches), "node long, shingles array<long>")
+    shingles = cut(shingles.dropDuplicates(["node"]))
+
+    mates = crowd.groupBy("node").agg(F.sum("n").alias("mates"))
+    hubs = crowd.join(mates, "node").groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("mates", -F.col("node"))).alias("hub"))
+    asked = cut(crowd.join(hubs, "key").where("root <> hub.root").select("hub", "node", "root").distinct())
+    of = asked.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    zero = F.lit(0).cast("long")
+    first = asked.join(of, "hub").select(F.col("hub.node").alias("key"), zero.alias("i"), _slice("node", F.col("parts")).alias("j"), F.lit(False).alias("asks"), "node", "root")
+    ask = of.select(F.col("hub.node").alias("key"), zero.alias("i"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("j"), F.lit(True).alias("asks"), "hub.node", "hub.root")
+    roots = components(_compared(first.unionByName(ask), shingles))
+
+    live = crowd.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", "node", F.coalesce("to", "root").alias("root"))
+    live = cut(live)
+    groups = live.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
+        F.max_by("root", F.struct("c", -F.col("root"))).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).where("n > most")
+    parts = groups.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("held"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("asking"))
+    apart = live.join(parts, "key")
+    held = apart.select("key", F.explode(F.sequence(zero, F.col("asking") - 1)).alias("i"), _slice("node", F.col("held")).alias("j"), F.lit(False).alias("asks"), "node", "root")
+    ask = apart.where("root <> main").select("key", _slice("node", F.col("asking")).alias("i"), F.explode(F.sequence(zero, F.col("held") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "root")
+    more = _compared(held.unionByName(ask), shingles)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def keep_representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """The rows of `docs` with the smallest doc_id of each group, all columns as they are.
 
     Groups are components of `near_duplicates`, grown together where `copy_links` finds near copies.
-    Of rows that repeat a kept doc_id the one with the least text stays. Rows with a null doc_id stay.
+    Null and empty texts are alike. Of rows that repeat a kept doc_id the one with the least text (nulls last,
+    then the other columns) stays. Rows with a null doc_id stay. An empty table gives none. Texts are moved
+    only where the ids that go are too many to broadcast.
     """
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = cut(src.mapInArrow(lean(_sketch_batches(words)), "doc_id long, fp long, same binary, keys array<long>"))
-    named = _labelled(own, radius).where("doc_id is not null")
+    named = cut(_labelled(own, radius).where("doc_id is not null").select("doc_id", "same", "keys", F.col("component_id").alias("base")))
     # a node per distinct text, all of its group
-    nodes = cut(named.groupBy("component_id", "same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")).select("node", F.col("component_id").alias("base"), "keys"))
-    gone = components(copy_links(nodes, docs)).where("node <> root").select("node")
-    keep = nodes.join(gone, "node", "left_anti").select(F.col("node").alias("_kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    nodes = cut(named.groupBy("base", "same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    joined = copy_links(nodes, docs).where("node <> root").select(F.col("node").alias("base"), F.lit(True).alias("joined"))
+    kept = (F.col("doc_id") == F.col("base")) & F.col("joined").isNull()
+    fate = named.select("doc_id", "base").join(joined, "base", "left").groupBy(F.col("doc_id").alias("id")).agg(
+        F.max(kept).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1").select("id", "kept")
+    fate = cut(fate)
+    if fate.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        fate = F.broadcast(fate)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))  # no helper name can clash inside
+    order = F.struct(F.col("row.text").isNull(), F.col("row.text"), F.to_json("row"))
+    again = rows.join(fate.where("kept"), "id", "left_semi").groupBy("id").agg(F.min_by("row", order).alias("row"))
+    return rows.join(fate, "id", "left_anti").select("row.*").unionByName(again.select("row.*"))
