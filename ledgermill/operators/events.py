@@ -108,12 +108,20 @@ def islands(rows: DataFrame, key: str, day: str, gap_days: int) -> DataFrame:
     return numbered.groupBy(key, "island").agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n"))
 
 
-def sequence_pattern(events: DataFrame, key: str, action: str, order: list[Column], first: int = 5) -> DataFrame:
-    """The first few actions of each key as `a > b > c` (bounded before they are gathered)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    few = events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first)
-    listed = F.array_sort(F.collect_list(F.struct("_n", F.col(action).alias("a"))))
-    return few.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["a"]), " > ").alias("pattern"))
+def sequence_pattern(events: DataFrame, key: str, action: str, order: list[Column]) -> DataFrame:
+    """(key, pattern): what a key's actions in order say: single a, n x a, granted then revoked, revoked then granted,
+    or mixed (all of them). Only mixed keys have their actions listed."""
+    o = F.struct(*order, action)
+    whole = events.groupBy(key).agg(F.count("*").alias("_n"), F.min(action).alias("_low"), F.max(action).alias("_high"), F.min_by(action, o).alias("_a"), F.max_by(action, o).alias("_z"))
+    plain = (
+        F.when(F.col("_n") == 1, F.concat(F.lit("single "), "_a")).when(F.col("_low") == F.col("_high"), F.concat(F.col("_n").cast("string"), F.lit(" x "), "_a"))
+        .when((F.col("_a") == "granted") & (F.col("_z") == "revoked"), "granted then revoked").when((F.col("_a") == "revoked") & (F.col("_z") == "granted"), "revoked then granted")
+    )
+    whole = whole.withColumn("_plain", plain)
+    mixed = events.join(whole.where("_plain is null").select(key), key, "left_semi")
+    listed = F.transform(F.array_sort(F.collect_list(o)), lambda x: x[action])
+    said = mixed.groupBy(key).agg(F.concat(F.lit("mixed ("), F.array_join(listed, " > "), F.lit(")")).alias("pattern"))
+    return whole.where("_plain is not null").select(key, F.col("_plain").alias("pattern")).unionByName(said)
 
 
 def state_map(states: DataFrame, key: str) -> DataFrame:

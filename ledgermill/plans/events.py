@@ -191,13 +191,12 @@ def f7_repeated_actions(spark, sf):
     return e.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("""WITH n AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-p AS (SELECT user_id, string_agg(event_type, ' > ' ORDER BY k) AS pattern FROM n WHERE k <= 5 GROUP BY 1)
-SELECT pattern, count(*) AS n FROM p GROUP BY 1""")
+@query(f"""WITH {_EV}, p AS (SELECT user_id, count(*) AS n, count(DISTINCT action) AS kinds, arg_min(action, (ts, event_id)) AS a, arg_max(action, (ts, event_id)) AS z, string_agg(action, ' > ' ORDER BY ts, event_id) AS whole FROM ev GROUP BY 1)
+SELECT CASE WHEN n = 1 THEN 'single ' || a WHEN kinds = 1 THEN n || ' x ' || a WHEN a = 'granted' AND z = 'revoked' THEN 'granted then revoked' WHEN a = 'revoked' AND z = 'granted' THEN 'revoked then granted' ELSE 'mixed (' || whole || ')' END AS pattern, count(*) AS n
+FROM p GROUP BY 1""")
 def e22_sequence_pattern(spark, sf):
-    """E22, E23."""
-    p = E.sequence_pattern(table(spark, sf, "events"), "user_id", "event_type", [F.col("ts"), F.col("event_id")])
-    return A.tally(p, "pattern")
+    """What each subject's whole sequence of actions says."""
+    return A.tally(E.sequence_pattern(consent_events(spark, sf), "subject", "action", [F.col("at"), F.col("id")]), "pattern")
 
 
 @query("""WITH d AS (SELECT DISTINCT o_custkey, o_orderdate::DATE AS day FROM orders),
@@ -211,16 +210,17 @@ def e20_islands(spark, sf):
     return i.select("o_custkey", F.col("island").cast("long"), F.col("first_day").cast("string"), F.col("last_day").cast("string"), "n")
 
 
-_RULES = ruleset.load()
+# the rules in force, with words that occur in the tables of texts
+_RULES = ruleset.parse({**ruleset.DEFAULT, "glp1_terms": ["thing", "scum", "trash"], "flag_condition_terms": ["idiot", "worthless", "loser"],
+                        "weight_related_condition_terms": ["of the", "und der"]})
 
 
 def rule_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as patients: age, weight and height from ids (every so often missing); a text's segments by turns as
     medications, conditions and other conditions."""
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents").select("doc_id", R.split_segments(F.coalesce("text", F.lit(""))).alias("seg"))
     k = F.col("doc_id")
-    seg = R.split_segments(F.coalesce("text", F.lit("")))
-    part = lambda n: F.filter(seg, lambda _, i: i % 3 == n)
+    part = lambda n: F.filter("seg", lambda _, i: i % 3 == n)
     return d.select(
         "doc_id", F.when(k % 11 != 0, (15 + k % 50)).cast("int").alias("age"), F.when(k % 13 != 0, (45 + k % 60).cast("decimal(5,1)")).alias("kg"),
         F.when(k % 17 != 0, (150 + k % 45)).cast("int").alias("cm"), (k % 19 == 0).alias("declared"), part(0).alias("medications"),
@@ -247,12 +247,12 @@ def _match_sql(segments: str, terms: list[str]) -> str:
     )
 
 
-@query(f"""WITH a AS (SELECT doc_id, unnest({_match_sql(_segments_sql("coalesce(text, '')"), _RULES.medication_terms)}) AS m FROM documents)
+@query(f"""WITH a AS (SELECT doc_id, unnest({_match_sql(_segments_sql("coalesce(text, '')"), _RULES.glp1_terms)}) AS m FROM documents)
 SELECT doc_id, m.text AS segment, m.term AS term FROM a""")
 def j4_term_match(spark, sf):
     """The first matching term of each segment of whole texts."""
     d = table(spark, sf, "documents")
-    m = R.match_terms(R.split_segments(F.coalesce("text", F.lit(""))), _RULES.medication_terms)
+    m = R.match_terms(R.read_segments(F.array(F.coalesce("text", F.lit("")))), _RULES.glp1_terms)
     return d.select("doc_id", F.explode(m).alias("m")).select("doc_id", F.col("m.text").alias("segment"), F.col("m.term").alias("term"))
 
 
@@ -270,14 +270,14 @@ _B = "kg * 10000 / (cm * cm)"
 _VERDICT = f"""WITH s AS (SELECT doc_id, {_segments_sql("coalesce(text, '')")} AS seg FROM documents),
 i AS (SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN 15 + doc_id % 50 END AS age, CASE WHEN doc_id % 13 <> 0 THEN (45 + doc_id % 60)::DOUBLE END AS kg,
   CASE WHEN doc_id % 17 <> 0 THEN (150 + doc_id % 45)::DOUBLE END AS cm, doc_id % 19 = 0 AS declared, list_filter(seg, lambda x, i: i % 3 = 1) AS meds, list_filter(seg, lambda x, i: i % 3 = 2) AS cond, list_filter(seg, lambda x, i: i % 3 = 0) AS other FROM s),
-m AS (SELECT *, {_B} AS bmi, {_match_sql("meds", _RULES.medication_terms)} AS gm, {_match_sql("list_concat(cond, other)", _RULES.flag_terms)} AS fm,
-  {_match_sql("cond", _RULES.related_terms)} AS rm FROM i),
+m AS (SELECT *, {_B} AS bmi, {_match_sql("meds", _RULES.glp1_terms)} AS gm, {_match_sql("list_concat(cond, other)", _RULES.flag_condition_terms)} AS fm,
+  {_match_sql("cond", _RULES.weight_related_condition_terms)} AS rm FROM i),
 b AS (SELECT *, coalesce(age < 18, false) AS young, coalesce(bmi < 27, false) AS low, coalesce(bmi >= 27 AND bmi <= 30, false) AND len(rm) = 0 AS bare,
   declared OR len(gm) > 0 AS treated, len(fm) > 0 AS history FROM m),
 o AS (SELECT *, CASE WHEN young THEN 'auto_rejected' WHEN low AND (bare OR treated OR history) THEN 'auto_flagged' WHEN low THEN 'auto_rejected'
   WHEN bare OR treated OR history THEN 'auto_flagged' WHEN age IS NULL OR bmi IS NULL THEN 'not_evaluable' ELSE 'auto_cleared' END AS outcome,
   concat_ws(',', CASE WHEN young THEN 'age_below_minimum' END, CASE WHEN low THEN 'bmi_below_minimum' END, CASE WHEN bare THEN 'bmi_band_without_condition' END,
-    CASE WHEN treated THEN 'current_medication' END, CASE WHEN history THEN 'flag_condition' END) AS matched FROM b)"""
+    CASE WHEN treated THEN 'glp1_medication' END, CASE WHEN history THEN 'flag_condition' END) AS matched FROM b)"""
 
 
 def verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,44 +299,111 @@ def j6_outcome_counts(spark, sf):
     return clinical_items(verdicts(spark, sf), "doc_id").groupBy("outcome", "rule").agg(F.count("*").alias("n"))
 
 
-@query(f"""{_VERDICT}
-SELECT doc_id, CASE WHEN age IS NULL THEN 'age not evaluated: date of birth missing' WHEN young THEN 'rejected: age ' || age || ' at submission' ELSE '' END AS age_reason,
-  CASE WHEN outcome = 'auto_cleared' THEN 'cleared: no rejecting or flagging rule matched' ELSE '' END AS clear_reason FROM o""")
-def j7_reasons(spark, sf):
-    """The reason grammar (the parts that need no number formatting)."""
-    v = verdicts(spark, sf)
-    pick = lambda p: F.coalesce(F.get(F.filter("reasons", lambda r: r.rlike(p)), F.lit(0)), F.lit(""))
-    return v.select("doc_id", pick("^(age not evaluated|rejected: age)").alias("age_reason"), pick("^cleared").alias("clear_reason"))
+def _shown_sql(holds: str) -> str:
+    """The BMI with as few decimals, one to four, as keep a comparison true."""
+    return "CASE " + " ".join(f"WHEN ({holds.format(x=f'round(bmi, {d})')}) = ({holds.format(x='bmi')}) THEN printf('%.{d}f', bmi)" for d in range(1, 5)) + " ELSE bmi::VARCHAR END"
+
+
+_SAID = "array_to_string(list_transform({0}, lambda m: m.text), '; ')"
 
 
-STATES = ("F", "O", "P")
+@query(f"""{_VERDICT}, t AS (SELECT *, 'age ' || age || ' at submission' AS age_text, 'BMI ' || {_shown_sql("{x} < 27")} || ' below 27' AS low_text,
+  {_shown_sql("{x} >= 27 AND {x} <= 30")} AS shown, outcome = 'auto_flagged' AND NOT young AND low AS yields FROM o)
+SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN age IS NULL THEN 'age not evaluated: date of birth missing' WHEN young THEN 'rejected: ' || age_text END,
+  CASE WHEN bmi IS NULL THEN 'BMI not evaluated: ' || CASE WHEN kg IS NULL AND cm IS NULL THEN 'weight and height' WHEN kg IS NULL THEN 'weight' ELSE 'height' END || ' missing'
+       WHEN low THEN 'rejected: ' || low_text WHEN bare THEN 'flagged: BMI ' || shown || ' with no weight-related condition'
+       WHEN bmi <= 30 THEN 'note: BMI ' || shown || ' in the 27–30 band, weight-related condition present (' || {_SAID.format("rm")} || ')' END,
+  CASE WHEN treated THEN 'flagged: current GLP-1 medication (' || CASE WHEN len(gm) > 0 THEN {_SAID.format("gm")} ELSE 'declared by patient' END || ')' END,
+  CASE WHEN history THEN 'flagged: self-reported history of thyroid cancer / pancreatitis (' || {_SAID.format("fm")} || ')' END,
+  CASE WHEN yields THEN 'flagged: ' || low_text || ', but a flag rule also matched; a human decides' END,
+  CASE WHEN outcome = 'auto_cleared' THEN 'cleared: no rejecting or flagging rule matched' END], lambda r: r IS NOT NULL), chr(10)) AS reasons FROM t""")
+def j7_reasons(spark, sf):
+    """All reasons of every row, in order."""
+    return verdicts(spark, sf).select("doc_id", F.array_join("reasons", "\n").alias("reasons"))
+
+
+@query("""WITH i AS (SELECT o_orderkey, o_orderstatus AS legacy_outcome, o_orderdate::DATE AS day, DATE '1985-03-01' + (c_custkey * 37 % 14000)::INT AS dob, o_orderkey % 7 = 0 AS related,
+    (45 + o_orderkey % 60) * 10000.0 / ((150 + o_orderkey % 45) * (150 + o_orderkey % 45)) AS bmi FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 9 <> 0),
+a AS (SELECT *, CASE WHEN dob <= day THEN date_part('year', day) - date_part('year', dob)
+    - CASE WHEN (date_part('month', day), date_part('day', day)) < (date_part('month', dob), date_part('day', dob)) THEN 1 ELSE 0 END END AS age FROM i),
+v AS (SELECT legacy_outcome, CASE WHEN age < 18 THEN 'auto_rejected' WHEN bmi < 27 THEN 'auto_rejected' WHEN bmi <= 30 AND NOT related THEN 'auto_flagged'
+    WHEN age IS NULL THEN 'not_evaluable' ELSE 'auto_cleared' END AS outcome FROM a)
+SELECT legacy_outcome, outcome, count(*) AS n FROM v GROUP BY 1, 2""")
+def j9_shadow_run(spark, sf):
+    """today's rules over all stored intakes, beside their legacy outcome."""
+    k = F.col("o_orderkey")
+    intakes = table(spark, sf, "orders").select(
+        k.alias("intake_id"), F.col("o_custkey").alias("patient_id"), F.to_date("o_orderdate").alias("submitted_at"), (45 + k % 60).cast("double").alias("kg"), (150 + k % 45).cast("int").alias("cm"),
+        F.lit(None).cast("string").alias("medications"), F.when(k % 7 == 0, "one of the many").alias("conditions"), F.col("o_orderstatus").alias("outcome"))
+    c = F.col("c_custkey")
+    patients = table(spark, sf, "customer").where(c % 9 != 0).select(c.alias("patient_id"), F.date_add(F.lit("1985-03-01").cast("date"), (c * 37 % 14000).cast("int")).alias("dob"))
+    return R.shadow_run(intakes, patients, _RULES).groupBy("legacy_outcome", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_custkey % 5 = 0 AS declared, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS ticked, c_custkey % 4 = 1 AS says, CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS conditions, c_custkey % 7 = 2 AS more FROM customer)
+SELECT CASE WHEN declared OR ticked = 1 OR says THEN 'reported' ELSE 'none_reported' END AS medication_report, CASE WHEN conditions = 1 OR more THEN 'reported' ELSE 'none_reported' END AS condition_report,
+  count(*) AS n, sum(ticked + says::INT)::BIGINT AS medications, sum(more::INT)::BIGINT AS other FROM a GROUP BY 1, 2""")
+def b34_eligibility_input(spark, sf):
+    """The engine's input and the two reports, of submitted answers."""
+    k = F.col("c_custkey")
+    one = lambda when, x: F.when(when, F.array(F.lit(x))).otherwise(F.array().cast("array<string>"))
+    answers = table(spark, sf, "customer").select(
+        F.lit("1980-02-29").cast("date").alias("dob"), F.lit("2024-02-28").cast("date").alias("submitted_at"), F.lit(80.0).alias("weight_kg"), F.lit(180).alias("height_cm"), (k % 5 == 0).alias("glp1_declared"),
+        one(k % 3 == 0, "ozempic").alias("glp1"), F.when(k % 4 == 1, " aspirin ").otherwise("  ").alias("other_medications"), one(k % 6 == 0, "pcos").alias("conditions"), F.when(k % 7 == 2, "gout").alias("other_conditions"))
+    ready = R.eligibility_input(answers)
+    return ready.groupBy("medication_report", "condition_report").agg(F.count("*").alias("n"), F.sum(F.size("medications")).alias("medications"), F.sum(F.size("other")).alias("other"))
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_linestatus AS b, lag(l_linestatus) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS a FROM lineitem)
 SELECT a AS from_state, b AS to_state, count(*) AS n FROM p WHERE a IS NOT NULL AND (a, b) NOT IN (('O', 'F'), ('F', 'F')) GROUP BY 1, 2""")
 def j10_illegal_transitions(spark, sf):
-    """Moves between neighbouring lines that aren't on the list of edges."""
+    """Moves between neighbouring lines that aren't on the list of edges."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = table(spark, sf, "lineitem").withColumn("from_state", F.lag("l_linestatus").over(w)).where("from_state is not null")
     moves = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "from_state", F.col("l_linestatus").alias("to_state"),
-                         F.lit("system").alias("actor_kind"), F.lit(None).cast("string").alias("reason"), F.lit("o1").alias("ruleset"))
-    legal = R.edges(spark, [("O", "F", "system", False, False), ("F", "F", "system", False, True)])
+                         F.lit("process").alias("actor_kind"), F.lit("shipped").alias("reason"), F.lit("v1").alias("ruleset"), F.lit(None).cast("array<string>").alias("matched"))
+    legal = R.edges(spark, [("O", "F", "process", False, False), ("F", "F", "process", True, False)])
     return R.refused_moves(moves, legal).groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES ('draft'),('submitted'),('auto_cleared'),('auto_flagged'),('auto_rejected'),('in_review'),('approved'),('rejected'),('needs_info'),('withdrawn'),('legacy_closed'),('legacy_open')) t(x))
-SELECT a.x AS from_state, b.x AS to_state, CASE WHEN (a.x, b.x) IN (('draft','submitted'),('submitted','auto_cleared'),('submitted','auto_flagged'),('submitted','auto_rejected'),
- ('auto_cleared','in_review'),('auto_flagged','in_review'),('auto_rejected','in_review'),('in_review','approved'),('in_review','rejected'),('in_review','needs_info')) THEN 'legal' ELSE 'no such edge' END AS verdict FROM s a, s b""")
+_TWELVE = """s AS (SELECT * FROM (VALUES (0, 'draft'), (1, 'submitted'), (2, 'auto_cleared'), (3, 'auto_flagged'), (4, 'auto_rejected'), (5, 'in_review'), (6, 'approved'), (7, 'rejected'),
+  (8, 'legacy_approved'), (9, 'legacy_rejected'), (10, 'legacy_pending'), (11, 'legacy_expired')) t(i, x)),
+edge AS (SELECT * FROM (VALUES ('draft', 'submitted', 'process'), ('submitted', 'auto_cleared', 'process'), ('submitted', 'auto_flagged', 'process'), ('submitted', 'auto_rejected', 'process'),
+  ('auto_cleared', 'in_review', 'reviewer'), ('auto_flagged', 'in_review', 'reviewer'), ('auto_rejected', 'in_review', 'reviewer'), ('legacy_pending', 'in_review', 'reviewer'),
+  ('in_review', 'approved', 'reviewer'), ('in_review', 'rejected', 'reviewer')) t(a, b, who))"""
+
+
+@query(f"""WITH {_TWELVE}, m AS (SELECT f.x AS from_state, t.x AS to_state, k.who AS actor, r.reason, v.ruleset, e.eval FROM s f, s t, (VALUES ('process'), ('reviewer')) k(who), (VALUES (''), ('why not')) r(reason),
+  (VALUES (NULL), ('v1')) v(ruleset), (VALUES ('none'), ('clear'), ('young'), ('low')) e(eval))
+SELECT from_state, to_state, CASE WHEN a IS NULL THEN 'no such edge' WHEN who <> actor THEN 'wrong actor' WHEN reason = '' THEN 'reason missing' WHEN from_state = 'submitted' AND ruleset IS NULL THEN 'ruleset missing'
+  WHEN to_state = 'approved' AND eval = 'none' THEN 'no evaluation' WHEN to_state = 'approved' AND eval = 'young' THEN 'absolute reject' ELSE 'legal' END AS verdict, count(*) AS n
+FROM m LEFT JOIN edge ON a = from_state AND b = to_state GROUP BY 1, 2, 3""")
 def j10_state_grid(spark, sf):
-    """All 144 ordered pairs of the twelve states."""
-    names = ["draft", "submitted", "auto_cleared", "auto_flagged", "auto_rejected", "in_review", "approved", "rejected", "needs_info", "withdrawn", "legacy_closed", "legacy_open"]
-    grid = spark.createDataFrame([(f"{a}>{b}", a, b) for a in names for b in names], "id string, from_state string, to_state string")
-    kinds = F.broadcast(R.edges(spark).select("from_state", "to_state", "actor_kind"))
-    moves = grid.join(kinds, ["from_state", "to_state"], "left").select("id", "from_state", "to_state", "actor_kind", F.lit("why not").alias("reason"), F.lit("o1").alias("ruleset"))
-    bad = R.refused_moves(moves, R.edges(spark)).select("id", "why")
-    return grid.join(bad, "id", "left").select("from_state", "to_state", F.coalesce("why", F.lit("legal")).alias("verdict"))
+    """All 144 ordered pairs of the twelve states by actor, reason, ruleset and evaluation."""
+    values = lambda name, rows, kind="string": spark.createDataFrame([(x,) for x in rows], f"{name} {kind}")
+    found = values("matched", [None, [], ["age_below_minimum"], ["bmi_below_minimum"]], "array<string>")
+    grid = values("from_state", R.STATES).crossJoin(values("to_state", R.STATES)).crossJoin(values("actor_kind", ["process", "reviewer"])).crossJoin(values("reason", ["", "why not"]))
+    grid = grid.crossJoin(values("ruleset", [None, "v1"])).crossJoin(found)  # 4,608 rows, whatever the tables
+    grid = grid.withColumn("id", F.concat_ws("|", "from_state", "to_state", "actor_kind", "reason", F.coalesce("ruleset", F.lit("-")), F.coalesce(F.array_join("matched", ","), F.lit("-"))))
+    bad = R.refused_moves(grid, R.edges(spark)).select("id", "why")
+    return grid.join(bad, "id", "left").groupBy("from_state", "to_state", F.coalesce("why", F.lit("legal")).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_TWELVE}, c AS (SELECT c_custkey AS k, o.x AS was, n.x AS now, c_custkey % 5 = 0 AS edited FROM customer JOIN s n ON n.i = (c_custkey * 7 + 3) % 12 LEFT JOIN s o ON o.i = c_custkey % 12 AND c_custkey % 10 <> 0),
+w AS (SELECT CASE WHEN was IS NULL THEN CASE WHEN now <> 'draft' AND now NOT LIKE 'legacy%' THEN 'starts as draft or a legacy state' END
+  WHEN was <> 'draft' AND edited THEN 'answers are evidence' WHEN was <> now AND a IS NULL AND NOT (was LIKE 'legacy%' AND now LIKE 'legacy%') THEN 'no such edge' END AS why FROM c LEFT JOIN edge ON a = was AND b = now)
+SELECT why, count(*) AS n FROM w WHERE why IS NOT NULL GROUP BY 1""")
+def j12_refused_changes(spark, sf):
+    """Rows of a next snapshot that the stored one can't become."""
+    k = F.col("c_custkey")
+    name = lambda i: F.get(F.array(*map(F.lit, R.STATES)), i.cast("int"))
+    c = table(spark, sf, "customer")
+    before = c.where(k % 10 != 0).select(k.alias("id"), name(k % 12).alias("state"), F.col("c_mktsegment").alias("answers"))
+    after = c.select(k.alias("id"), name((k * 7 + 3) % 12).alias("state"), F.when(k % 5 == 0, "edited").otherwise(F.col("c_mktsegment")).alias("answers"))
+    return R.refused_changes(before, after, R.edges(spark)).groupBy("why").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_S1} SELECT c_mktsegment AS status, state, CASE WHEN state = 'conflict' THEN 'settle the conflict' WHEN state = 'revoked' THEN 'stop processing' ELSE 'ask again' END AS ask, count(*) AS n
@@ -371,13 +438,13 @@ def l7_standing(spark, sf):
     return m.select("user_id", F.array_join(F.transform(F.array_sort(F.map_keys("states")), lambda k: F.concat(k, F.lit("="), F.element_at("states", k))), ",").alias("counts"))
 
 
-@query("""SELECT * FROM (SELECT 'event' AS kind, ts::VARCHAR AS at, event_id AS seq FROM events WHERE user_id = 1 UNION ALL
-SELECT 'order', o_orderdate::VARCHAR, o_orderkey FROM orders WHERE o_custkey = 1)""")
+@query("""SELECT * FROM (SELECT 'event' AS kind, ts::VARCHAR AS at, event_id AS seq, user_id AS subject FROM events UNION ALL
+SELECT 'order', o_orderdate::VARCHAR, o_orderkey, o_custkey FROM orders)""")
 def f8_timeline(spark, sf):
-    """Two kinds of evidence about one subject as one timeline."""
-    e = table(spark, sf, "events").where("user_id = 1").select(F.lit("event").alias("kind"), _stamp("ts").alias("at"), F.col("event_id").alias("seq"))
-    o = table(spark, sf, "orders").where("o_custkey = 1").select(F.lit("order").alias("kind"), _stamp("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"))
-    return E.timeline(e, o)
+    """Two kinds of evidence about every subject as one timeline."""
+    e = table(spark, sf, "events").select("user_id", F.lit("event").alias("kind"), _stamp("ts").alias("at"), F.col("event_id").alias("seq"))
+    o = table(spark, sf, "orders").select("o_custkey", F.lit("order").alias("kind"), _stamp("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"))
+    return E.timeline(e.withColumnRenamed("user_id", "subject"), o.withColumnRenamed("o_custkey", "subject"))
 
 
 def _stamp(c: str):
