@@ -55,23 +55,24 @@ def impossible_reason(d: Column, as_of: Column, signup: Column | None = None, ol
     return out.when(age_in_years(d, signup) > oldest, f"age_above_{oldest}_at_signup") if signup is not None else out
 
 
+def _instant(utc: Column) -> Column:
+    """The instant of a UTC clock reading, whatever zone the session has."""
+    return F.make_timestamp(F.year(utc), F.month(utc), F.dayofmonth(utc), F.hour(utc), F.minute(utc), F.second(utc).cast("decimal(8,6)"), F.lit("UTC"))
+
+
 def wall_to_instant(wall: Column, zone: str = ZONE) -> Column:
-    """struct(at, ambiguous, nonexistent) of a local wall time (timestamp without zone read as UTC).
-
-    In the repeated hour the earlier instant; in the skipped hour the offset before it holds."""
-    w = wall.cast("timestamp")
-    u = F.to_utc_timestamp(w, zone)
-    hour = F.expr("INTERVAL 1 HOUR")
-    return F.struct(
-        u.alias("at"),
-        (F.from_utc_timestamp(u + hour, zone) == w).alias("ambiguous"),
-        (F.from_utc_timestamp(u, zone) != w).alias("nonexistent"),
-    )
+    """struct(at: instant, wall: its UTC clock reading, ambiguous, nonexistent) of a local wall time (timestamp_ntz).
+
+    In the repeated hour the earlier instant; in the skipped hour the offset before it holds. Whole seconds."""
+    w = wall.cast("timestamp_ntz")
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), w)
+    back = lambda u: F.convert_timezone(F.lit("UTC"), F.lit(zone), u)
+    return F.struct(_instant(utc).alias("at"), utc.alias("wall"), (back(utc + F.expr("INTERVAL 1 HOUR")) == w).alias("ambiguous"), (back(utc) != w).alias("nonexistent"))
 
 
-def day_of(instant: Column, zone: str = ZONE) -> Column:
-    """The calendar day of an instant at the clinic."""
-    return F.to_date(F.from_utc_timestamp(instant.cast("timestamp"), zone))
+def day_of(utc: Column, zone: str = ZONE) -> Column:
+    """The calendar day at the clinic of a UTC clock reading (timestamp_ntz), whatever zone the session has."""
+    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc.cast("timestamp_ntz")))
 
 
 def is_calendar_date(c: Column) -> Column:

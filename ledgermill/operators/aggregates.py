@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .identity import checkpointed
+
 
 def tally(df: DataFrame, *keys: str) -> DataFrame:
     """E1, E23."""
@@ -45,10 +49,23 @@ def duplicate_stats(df: DataFrame, value: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, value: str, keys: list[str], at: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles, least, largest and number of the non-null values."""
-    one = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("largest"), *[one(p).alias(k) for k, p in at.items()])
+    """Nearest-rank percentiles, least, largest and number of the non-null values.
+
+    Values are counted, the counts put in order by ranges of (keys, value), and ranks are summed within a range and
+    then over the ranges before it, so a group of any size is spread over tasks.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    # written out, as a second look at the ranges could cut them elsewhere
+    ranged = checkpointed(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    per = ranged.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p")).agg(F.sum("_n").alias("_m"))
+    own, rows = Window.partitionBy(*[f"_k_{k}" for k in keys]), Window.partitionBy(*keys, "_part").orderBy(value)
+    per = per.withColumns({"_before": F.sum("_m").over(own.orderBy("_p")) - F.col("_m"), "_all": F.sum("_m").over(own)}).drop("_m")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.col("_part") == F.col("_p"))
+    ranked = ranged.join(per, same).select(*keys, value, "_n", "_part", "_before", "_all")
+    ranked = ranked.withColumn("_upto", F.col("_before") + F.sum("_n").over(rows))
+    wanted = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_all")))
+    one = lambda p: F.max(F.when((F.col("_upto") >= wanted(p)) & (F.col("_upto") - F.col("_n") < wanted(p)), F.col(value)))
+    return ranked.groupBy(*keys).agg(F.max("_all").alias("n"), F.min(value).alias("least"), F.max(value).alias("largest"), *[one(p).alias(k) for k, p in at.items()])
 
 
 def with_examples(df: DataFrame, group: str, example: str, order: str, n: int = 3) -> DataFrame:
@@ -72,10 +89,17 @@ def folding(df: DataFrame, raw: str, folded: Column) -> DataFrame:
     return df.groupBy(folded.alias("folded")).agg(F.countDistinct(raw).alias("spellings"), F.count("*").alias("n")).where("spellings > 1")
 
 
+MAX_VOCABULARY = 10_000
+
+
 def variation(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, value) pairs that never occur, of all groups and values."""
-    g, v = df.select(group).distinct(), df.select(value).distinct()
-    return g.crossJoin(F.broadcast(v)).join(df.select(group, value).distinct(), [group, value], "left_anti")  # closed lists
+    """(group, value) pairs that never occur, of all groups and values. Both are closed word lists: more than
+    MAX_VOCABULARY of either stops the job."""
+    pairs = df.select(group, value).distinct()
+    g, v = pairs.select(group).distinct(), pairs.select(value).distinct()
+    if max(x.limit(MAX_VOCABULARY + 1).count() for x in (g, v)) > MAX_VOCABULARY:
+        raise ValueError(f"more than {MAX_VOCABULARY} values: not a closed vocabulary")
+    return g.crossJoin(F.broadcast(v)).join(pairs, [group, value], "left_anti")  # at most MAX_VOCABULARY a side
 
 
 def term_counts(df: DataFrame, text: str, terms: list[str]) -> DataFrame:
@@ -115,9 +139,10 @@ def queue(items: list[DataFrame], kinds: list[str], n: int, states: list[str] |
 
 
 def age_window(at: Column, as_of: str, window: str, zone: str = "Europe/Amsterdam") -> Column:
-    """Today, week or older, by clinic midnights; a null time is in none."""
-    midnight = lambda back: F.to_utc_timestamp(F.date_sub(F.to_date(F.lit(as_of)), back).cast("timestamp"), zone)
-    t = at.cast("timestamp")
+    """Today, week or older, by clinic midnights; a null time is in none. at: UTC clock readings (timestamp_ntz);
+    the session's zone plays no part."""
+    midnight = lambda back: F.convert_timezone(F.lit(zone), F.lit("UTC"), F.date_sub(F.to_date(F.lit(as_of)), back).cast("timestamp_ntz"))
+    t = at.cast("timestamp_ntz")
     return {"today": t >= midnight(0), "week": (t >= midnight(6)) & (t < midnight(0)), "older": t < midnight(6)}[window]
 
 
@@ -133,9 +158,12 @@ def search(df: DataFrame, q: str, columns: list[str], key: str, order: str, n: i
 
 
 def either_match(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]], keys: tuple[str, str]) -> DataFrame:
-    """Pairs of rows that agree in any of the columns: one equi join each, then distinct (no OR join)."""
+    """For each row of `a` that agrees with rows of `b` in any of the columns: their number by column and the least
+    of them. One equi join with b's holders per value each (no OR join, never all pairs of a common value)."""
     out = None
-    for x, y in pairs:
-        one = a.select(F.col(keys[0]), F.col(x).alias("_v")).join(b.select(F.col(keys[1]), F.col(y).alias("_v")), "_v").select(*keys)
+    for n, (x, y) in enumerate(pairs):
+        held = b.where(F.col(y).isNotNull()).groupBy(F.col(y).alias("_v")).agg(F.count("*").alias("_n"), F.min(keys[1]).alias("_least"))
+        one = a.select(F.col(keys[0]), F.col(x).alias("_v")).join(held, "_v").select(keys[0], F.lit(n).alias("_pair"), "_n", "_least")
         out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    count = [F.coalesce(F.sum(F.when(F.col("_pair") == n, F.col("_n"))), F.lit(0)).alias(f"by_{x}") for n, (x, _) in enumerate(pairs)]
+    return out.groupBy(keys[0]).agg(F.min("_least").alias(keys[1]), *count)

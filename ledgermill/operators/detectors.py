@@ -7,35 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import age_at, read_by_separator, swapped
 from ..functions.text import dedupe_key
+from .items import item
 
-DRAFT = ["type", "scope", "title", "reason", "payload", "field", "dedupe_key"]
+NUMBER_FIELDS = ("alcohol_units_week", "weight_kg", "height_cm")  # fixed values
 
 
-def draft(df: DataFrame, kind: str, scope: str, title: Column, reason: Column, payload: dict[str, Column], field: Column, parts: list[Column]) -> DataFrame:
-    """The common shape of a review item; payload as JSON with nulls kept."""
-    body = F.to_json(F.struct(*[v.alias(k) for k, v in payload.items()]), {"ignoreNullFields": "false"})
-    return df.select(F.lit(kind).alias("type"), F.lit(scope).alias("scope"), title.alias("title"), reason.alias("reason"), body.alias("payload"),
-                     field.cast("string").alias("field"), dedupe_key(F.lit(kind), *parts).alias("dedupe_key"))
+def unseen_values(flags: DataFrame, key: str, entity: str) -> tuple[DataFrame, DataFrame]:
+    """M2: (one item per field and raw value that is in no vocabulary or no number, all of its rows as (dedupe_key, key)).
 
-
-def flag_items(flags: DataFrame, key: str, entity: str) -> DataFrame:
-    """M1: one item per flag of a mapped row."""
-    return draft(flags.where("kind <> 'vocabulary_unseen'"), "data_quality", entity, F.concat(F.col("field"), F.lit(": "), F.col("kind")), F.col("kind"),
-                 {"raw": F.col("raw"), "proposed": F.col("proposed")}, F.col("field"), [F.lit(entity), F.col(key), F.col("field"), F.col("kind")])
-
-
-def unseen_values(flags: DataFrame, key: str) -> DataFrame:
-    """M2: per (field, raw) unseen spelling: number and the sorted first hundred rows (all rows are counted)."""
-    own = flags.where("kind = 'vocabulary_unseen'")
-    w = Window.partitionBy("field", "raw").orderBy(key)
-    return own.withColumn("_n", F.row_number().over(w)).groupBy("field", "raw").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= 100, F.col(key)))).alias("rows"))
-
-
-def confirmation_items(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """M3: one fixed question per rule that touched any row, with the number of rows."""
-    one = rows.agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
-    return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, rules)), F.array(*rules))).alias("rule", "n")).where("n > 0")
+    The rows stay a table beside the items: a value may stand on any number of them."""
+    own = flags.where("kind in ('vocabulary_unseen', 'non_numeric')").withColumn("_number", F.col("field").isin(*NUMBER_FIELDS))
+    rule = F.when(F.col("_number"), "NON_NUMERIC_TO_NULL").otherwise("VOCAB_UNKNOWN")
+    ident = [F.lit("vocabulary"), F.lit(entity), F.col("field"), rule, F.col("raw")]
+    rows = own.select(dedupe_key(F.lit("vocabulary"), *ident).alias("dedupe_key"), key)
+    groups = own.groupBy("field", "raw", "_number").agg(F.count("*").alias("n"), F.min(key).alias("first_row"))
+    said = F.concat(F.lit("`"), F.col("raw"), F.lit("` on "), F.col("n").cast("string"), F.lit(" rows"))
+    title = F.when(F.col("_number"), F.concat(F.col("field"), F.lit(": "), said, F.lit(" is not a number: zero or not answered?"))).otherwise(F.concat(F.col("field"), F.lit(": unseen value "), said))
+    payload = {"entity": F.lit(entity), "field": F.col("field"), "raw": F.col("raw"), "n": F.col("n"), "first_row": F.col("first_row").cast("string")}
+    return item(groups, "vocabulary", title, None, payload, F.col("field"), ident[1:], scope="vocabulary"), rows
 
 
 def field_diff(stored: DataFrame, incoming: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -134,13 +123,14 @@ def clinical_items(evaluated: DataFrame, key: str) -> DataFrame:
 
 
 def possible_existing(submission: DataFrame, existing: DataFrame, key: str, keys: list[str]) -> DataFrame:
-    """Existing rows that share a key with a submission, with the kinds shared."""
+    """(submission, kind, holders, existing): per kind of key that stored rows share with a submission, their number
+    and the least of them. Stored rows are counted per value first, so a value that many rows hold stays one row."""
     out = None
     for k in keys:
-        one = submission.where(F.col(k).isNotNull()).select(F.col(key).alias("submission"), F.col(k)).join(existing.select(F.col(key).alias("existing"), k), k)
-        one = one.select("submission", "existing", F.lit(k).alias("kind"))
+        held = existing.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("holders"), F.min(key).alias("existing"))
+        one = submission.select(F.col(key).alias("submission"), F.col(k)).join(held, k).select("submission", F.lit(k).alias("kind"), "holders", "existing")
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("submission", "existing").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return out
 
 
 def unit_missing(rows: DataFrame, raw: str, cm: Column) -> DataFrame:

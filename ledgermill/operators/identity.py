@@ -5,20 +5,28 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; a folder of our own only in local mode."""
-    spark = df.sparkSession
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The shared folder that the session names; a folder of our own only in local mode where none is named."""
     sc = spark.sparkContext
-    if not (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "ledgermill-checkpoints"))
+    if sc.getCheckpointDir():
+        return
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(named)
+        return
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "ledgermill-checkpoints"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -65,8 +73,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def groups(keys: DataFrame, key: str) -> DataFrame:
-    """K2: (key, root) of records in groups of two or more."""
-    return components(key_edges(keys, key)).withColumnRenamed("node", key)
+    """K2: (key, root) of records in groups of two or more. The keys are written out first: they are read twice, and
+    may be digests of long texts."""
+    return components(key_edges(checkpointed(keys), key)).withColumnRenamed("node", key)
 
 
 def matched_keys(keys: DataFrame, placed: DataFrame, key: str) -> DataFrame:
@@ -112,6 +121,7 @@ def survivors(members: DataFrame, key: str, busy: Column, signup: Column) -> Dat
     at = lambda n, c: F.max(F.when(F.col("_n") == n, F.col(c)))
     s = two.groupBy("root").agg(at(1, "id").alias("survivor"), at(1, "busy").alias("b1"), at(2, "busy").alias("b2"), at(1, "signup").alias("s1"), at(2, "signup").alias("s2"))
     alone = F.col("b2").isNull() | (F.col("b1") & ~F.col("b2"))
+    # fixed values: the three clauses
     rule = F.when(alone, "survivor is the only row with intakes").when(F.col("s1") != F.col("s2"), "survivor signed up later").otherwise("survivor has the lower legacy id")
     return s.select("root", "survivor", rule.alias("rule"))
 
@@ -172,10 +182,11 @@ def members_of(chains: DataFrame, survivor) -> DataFrame:
 
 
 def side_by_side(members: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Per root the candidates as a sorted list, and the fields in which they differ."""
-    listed = F.array_sort(F.collect_list(F.struct(key, *fields)))
-    agg = members.groupBy("root").agg(listed.alias("candidates"), *[F.size(F.collect_set(F.coalesce(F.col(f).cast("string"), F.lit("\0")))).alias(f"d_{f}") for f in fields])
-    return agg.select("root", "candidates", F.array_compact(F.array(*[F.when(F.col(f"d_{f}") > 1, F.lit(f)) for f in fields])).alias("differing"))
+    """Every candidate as a row (root, key, fields) with the fields in which its group differs; null is a value."""
+    value = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("\0"))
+    differ = members.groupBy("root").agg(*[(F.min(value(f)) != F.max(value(f))).alias(f"d_{f}") for f in fields])
+    said = differ.select("root", F.array_compact(F.array(*[F.when(F.col(f"d_{f}"), F.lit(f)) for f in fields])).alias("differing"))
+    return members.select("root", key, *fields).join(said, "root")
 
 
 def overlap(groupings: dict[str, DataFrame], key: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Column normalisation: each mapper gives struct(value, records, flags).
 
-records: every change, as (field, from_value, to_value, rule_code); flags: what a person should see, as
+records: every change, as (field, from_value, to_value, rule_code, evidence); flags: what a person should see, as
 (kind, field, raw, proposed). Both are arrays without nulls, ready to explode.
 """
 
@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 
+# fixed values: patterns, rule codes and flag kinds of this module
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$"
-RECORD = "array<struct<field:string,from_value:string,to_value:string,rule_code:string>>"
+RECORD = "array<struct<field:string,from_value:string,to_value:string,rule_code:string,evidence:string>>"
 FLAG = "array<struct<kind:string,field:string,raw:string,proposed:string>>"
 
 
@@ -21,8 +22,8 @@ def _text(c) -> Column:
     return (c if isinstance(c, Column) else F.lit(c)).cast("string")
 
 
-def record(when: Column, field: str, old, new, rule: str) -> Column:
-    return F.when(when, F.struct(F.lit(field).alias("field"), _text(old).alias("from_value"), _text(new).alias("to_value"), F.lit(rule).alias("rule_code")))
+def record(when: Column, field: str, old, new, rule: str, evidence=None) -> Column:
+    return F.when(when, F.struct(F.lit(field).alias("field"), _text(old).alias("from_value"), _text(new).alias("to_value"), F.lit(rule).alias("rule_code"), _text(evidence).alias("evidence")))
 
 
 def flag(when: Column, kind: str, field: str, raw, proposed=None) -> Column:
@@ -103,33 +104,43 @@ DECIMAL = "^[0-9]+(\\.[0-9])?$"
 POUND = "0.45359237"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def map_weight(raw: Column, unit: Column | None, low: float, high: float, field: str = "weight_kg") -> Column:
     """One decimal; pounds to kilograms; outside the bounds null. unit None: kilograms."""
     number = raw.rlike(DECIMAL)
-    n = F.when(number, raw).try_cast("decimal(9,1)")
-    kg = F.when(F.lit(True), F.round(n * F.lit(POUND).cast("decimal(9,8)"), 1).cast("decimal(9,1)"))
-    lbs = (unit == "lbs") if unit is not None else F.lit(False)
-    known = unit.isin("kg", "lbs") if unit is not None else F.lit(True)
-    missing = number & (unit == "") if unit is not None else F.lit(False)
-    unseen = number & ~known & ~missing
-    now = F.when(number & known, F.when(lbs, kg).otherwise(n))
-    out = now.isNotNull() & ~now.between(low, high)
-    words = (raw != "") & ~number
-    return mapped(
-        F.when(~out, now),
-        [
-            record(words, field, raw, None, "NON_NUMERIC_TO_NULL"),
-            record(missing, field, raw, None, "WEIGHT_UNIT_MISSING_TO_NULL"),
-            record(unseen, field, raw, None, "VOCAB_UNKNOWN"),
-            *([record(unseen, "weight_unit", unit, None, "VOCAB_UNKNOWN")] if unit is not None else []),
-            record(number & lbs, field, raw, kg, "WEIGHT_LBS_TO_KG"),
-            record(out, field, now, None, "IMPLAUSIBLE_TO_NULL"),
-        ],
-        [
-            flag(words, "non_numeric", field, raw), flag(missing, "weight_unit_missing", field, raw),
-            *([flag(unseen, "vocabulary_unseen", "weight_unit", unit)] if unit is not None else []), flag(out, "implausible", field, raw),
-        ],
-    )
+    read = F.struct(raw.alias("raw"), number.alias("number"), F.when(number, raw).try_cast("decimal(9,1)").alias("n"), (F.lit("kg") if unit is None else unit).alias("unit"))
+
+    def said(x: Column, y: Column) -> Column:
+        number, words = x["number"], (x["raw"] != "") & ~x["number"]
+        missing = number & (x["unit"] == "")
+        unseen = number & ~x["unit"].isin("kg", "lbs") & ~missing
+        out = ~y["now"].between(low, high)
+        return mapped(
+            F.when(~out, y["now"]),
+            [
+                record(words, field, x["raw"], None, "NON_NUMERIC_TO_NULL"),
+                record(missing, field, x["raw"], None, "WEIGHT_UNIT_MISSING_TO_NULL"),
+                record(unseen, field, x["raw"], None, "VOCAB_UNKNOWN"),
+                *([record(unseen, "weight_unit", x["unit"], None, "VOCAB_UNKNOWN")] if unit is not None else []),
+                record(number & (x["unit"] == "lbs"), field, x["raw"], y["kg"], "WEIGHT_LBS_TO_KG"),
+                record(out, field, y["now"], None, "IMPLAUSIBLE_TO_NULL"),
+            ],
+            [
+                flag(words, "non_numeric", field, x["raw"]), flag(missing, "weight_unit_missing", field, x["raw"]),
+                *([flag(unseen, "vocabulary_unseen", "weight_unit", x["unit"])] if unit is not None else []), flag(out, "implausible", field, x["raw"]),
+            ],
+        )
+
+    def converted(x: Column) -> Column:
+        kg = F.when(x["unit"] == "lbs", F.round(x["n"] * F.lit(POUND).cast("decimal(9,8)"), 1).cast("decimal(9,1)"))
+        return let(F.struct(kg.alias("kg"), x["n"].alias("n")), lambda k: let(
+            F.struct(k["kg"].alias("kg"), F.when(x["unit"] == "kg", k["n"]).otherwise(k["kg"]).alias("now")), lambda y: said(x, y)))
+
+    return let(read, converted)
 
 
 def map_integer(raw: Column, field: str, low: int | None = None, high: int | None = None) -> Column:
@@ -161,16 +172,22 @@ def map_report(raw: Column, field: str, none_words: list[str], rule: str) -> Col
 
 
 def map_wall_time(raw: Column, field: str = "at") -> Column:
-    """B13 on text YYYY-MM-DDTHH:MM:SS; other writings are null and flagged."""
+    """B13 on text YYYY-MM-DDTHH:MM:SS; the record says which zone was assumed and whether the hour was an odd one.
+    Other writings, empty ones included, are null and flagged."""
     ok = raw.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$")
-    wall = F.try_to_timestamp(F.when(ok, raw), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    got = D.wall_to_instant(wall)
-    unread = (raw != "") & wall.isNull()
-    return mapped(
-        got["at"],
-        [record(unread, field, raw, None, "TIME_UNREADABLE_TO_NULL"), record(wall.isNotNull(), field, raw, got["at"], "LOCAL_TIME_TO_INSTANT")],
-        [flag(unread, "time_unreadable", field, raw), flag(got["ambiguous"], "time_ambiguous", field, raw), flag(got["nonexistent"], "time_nonexistent", field, raw)],
-    )
+    got = D.wall_to_instant(F.when(ok, raw).try_cast("timestamp_ntz"))
+    read = got["at"].isNotNull()
+    odd = lambda k: F.when(got[k], True)
+    detail = F.to_json(F.struct(F.lit(D.ZONE).alias("zone"), odd("ambiguous").alias("ambiguous"), odd("nonexistent").alias("nonexistent")))
+    iso = F.date_format(got["wall"], "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return mapped(got["at"], [record(read, field, raw, iso, "TIMESTAMP_ZONE_ASSUMED", detail)], [flag(~read, "timestamp_unparsed", field, raw)])
+
+
+def map_consent_event(rows: DataFrame, key: str, at: str, action: str, actions: dict[str, str]) -> DataFrame:
+    """(key, at, action, records, flags, event): `event` is null where time or action can't be used; the row with
+    its records and flags stays."""
+    r = map_rows(rows, key, {"at": map_wall_time(F.col(at)), "action": map_vocabulary(F.col(action), "action", actions)})
+    return r.withColumn("event", F.when(F.col("at").isNotNull() & F.col("action").isNotNull(), F.struct("at", "action")))
 
 
 def map_rows(df: DataFrame, key: str, mappers: dict[str, Column]) -> DataFrame:

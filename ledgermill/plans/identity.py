@@ -20,12 +20,13 @@ def people(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     lab = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     long_key = F.when(F.col("n_chars") > 3000, F.concat_ws("|", "lang", F.col("n_chars").cast("string")))
-    return d.join(lab, "doc_id", "left").select(
+    p = d.join(lab, "doc_id", "left").select(
         "doc_id", *FIELDS, F.sha2(T.fold(F.col("text")).cast("binary"), 256).alias("email"), long_key.alias("phone"), "quality")
+    return I.checkpointed(p)  # texts are folded once, whatever reads the persons
 
 
-def keys(spark: SparkSession, sf: str) -> DataFrame:
-    return I.keys_of(people(spark, sf), "doc_id", {"email": F.col("email"), "phone": F.col("phone")})
+def keys(spark: SparkSession, sf: str, p: DataFrame | None = None) -> DataFrame:
+    return I.keys_of(people(spark, sf) if p is None else p, "doc_id", {"email": F.col("email"), "phone": F.col("phone")})
 
 
 _P = f"""p AS (SELECT d.doc_id, lang, source, n_chars, sha256({fold_sql("text")}) AS email, CASE WHEN n_chars > 3000 THEN lang || '|' || n_chars END AS phone, quality
@@ -57,7 +58,8 @@ def k3_matched_keys(spark, sf):
 
 
 def placed(spark: SparkSession, sf: str) -> DataFrame:
-    return people(spark, sf).join(I.groups(keys(spark, sf), "doc_id"), "doc_id")
+    p = people(spark, sf)
+    return p.join(I.groups(keys(spark, sf, p), "doc_id"), "doc_id")
 
 
 @query(f"""WITH RECURSIVE {_C}, m AS (SELECT root, count(*) AS size, count(DISTINCT lang) AS l, count(DISTINCT source) AS s, count(DISTINCT n_chars) AS n, count(DISTINCT email) AS t FROM c JOIN p USING (doc_id) GROUP BY 1)
@@ -141,18 +143,69 @@ def p5_rerun(spark, sf):
     return rerun(once, new, owned, "c_custkey", fields)[0]
 
 
-@query("""WITH x AS (SELECT p_partkey, p_brand, p_size::BIGINT AS s FROM part), c AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 4 = 0 THEN 'decided' ELSE p_brand END AS nb FROM x)
-SELECT p_partkey, nb AS p_brand, CASE WHEN p_partkey % 4 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS audits FROM c""")
+_ITEMS = """i AS (SELECT c_custkey AS item, ['data_quality', 'vocabulary', 'orphan_intake', 'duplicate_intake', 'consent', 'clinical_history'][1 + c_custkey % 6] AS type, CASE WHEN c_custkey % 25 = 0 THEN 'resolved' ELSE 'open' END AS status,
+  [['city', 'outcome'], ['weight_kg', 'weight_kg'], [NULL, NULL], ['bsn', 'bsn']][1 + c_custkey % 4][1 + (c_custkey % 14 = 0)::INT] AS field, c_custkey AS n,
+  [['accept_proposal', 'set_value', 'dismiss'], ['confirm', 'reject', 'dismiss'], ['attach', 'leave_unresolved', 'merge'], ['keep_one', 'keep_both', 'keep_one'], ['resolve', 'set_state', 'set_state'], ['resolve', 'dismiss', 'resolve']][1 + c_custkey % 6][1 + c_custkey % 5 % 3] AS action,
+  CASE WHEN c_custkey % 23 = 0 THEN ' ' ELSE 'seen' END AS note FROM customer),
+v AS (SELECT *, CASE type WHEN 'data_quality' THEN CASE field WHEN 'city' THEN 'Delft' WHEN 'weight_kg' THEN CASE WHEN n % 3 = 0 THEN '80' ELSE 'x' END WHEN 'bsn' THEN '111222333' END WHEN 'orphan_intake' THEN CASE WHEN n % 7 = 0 THEN 'nobody' ELSE (n % 7)::VARCHAR END
+  WHEN 'duplicate_intake' THEN CASE WHEN n % 4 = 1 THEN 'a' ELSE 'z' END WHEN 'consent' THEN 'granted' END AS value, CASE WHEN n % 10 < 8 THEN CASE field WHEN 'city' THEN 'Gouda' WHEN 'weight_kg' THEN '71.5' WHEN 'bsn' THEN '123456789' END END AS proposed FROM i),
+d AS (SELECT *, CASE WHEN status <> 'open' THEN 'already closed' WHEN type = 'orphan_intake' AND action = 'merge' THEN 'no such action' WHEN trim(note) = '' THEN 'note missing'
+  WHEN type = 'data_quality' AND action <> 'dismiss' AND field IS NULL THEN 'names no field' WHEN type = 'data_quality' AND action = 'accept_proposal' AND proposed IS NULL THEN 'carries no proposal'
+  WHEN type = 'data_quality' AND action <> 'dismiss' AND field = 'outcome' THEN 'names no row to correct' WHEN type = 'data_quality' AND action = 'set_value' AND value = 'x' THEN 'not a value of the field'
+  WHEN type = 'orphan_intake' AND action = 'attach' AND value = 'nobody' THEN 'no such patient' WHEN type = 'duplicate_intake' AND action = 'keep_one' AND value <> 'a' THEN 'not one of the pair'
+  WHEN type = 'consent' AND action = 'set_state' AND n % 3 <> 1 THEN 'only a conflict is settled by hand' END AS problem FROM v)"""
+
+
+def _decided(spark, sf):
+    from ..operators import decisions as X
+
+    n = F.col("c_custkey")
+    pick = lambda i, *xs: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
+    kinds = ["data_quality", "vocabulary", "orphan_intake", "duplicate_intake", "consent", "clinical_history"]
+    field = F.when((n % 4 == 0) & (n % 14 == 0), "outcome").otherwise(pick(n % 4, "city", "weight_kg", None, "bsn"))
+    c = table(spark, sf, "customer").select(n, n.alias("item"), pick(n % 6, *kinds).alias("type"), field.alias("field"))
+    by_field = lambda city, kg, bsn: F.when(F.col("field") == "city", city).when(F.col("field") == "weight_kg", kg).when(F.col("field") == "bsn", bsn)
+    items = c.select(
+        "item", "type", F.when(n % 25 == 0, "resolved").otherwise("open").alias("status"), "field", F.lit(X.POUNDS_RULE).alias("rule"), F.when(n % 10 < 8, by_field("Gouda", "71.5", "123456789")).alias("proposed"),
+        n.cast("string").alias("patient_id"), n.cast("string").alias("intake_id"), F.when(n % 3 == 1, "conflict").otherwise("granted").alias("derived"))
+    does = [("accept_proposal", "set_value", "dismiss"), ("confirm", "reject", "dismiss"), ("attach", "leave_unresolved", "merge"), ("keep_one", "keep_both", "keep_one"), ("resolve", "set_state", "set_state"), ("resolve", "dismiss", "resolve")]
+    action = F.get(F.get(F.array(*[F.array(*map(F.lit, d)) for d in does]), (n % 6).cast("int")), (n % 5 % 3).cast("int"))
+    value = (
+        F.when(F.col("type") == "data_quality", by_field("Delft", F.when(n % 3 == 0, "80").otherwise("x"), "111222333")).when(F.col("type") == "orphan_intake", F.when(n % 7 == 0, "nobody").otherwise((n % 7).cast("string")))
+        .when(F.col("type") == "duplicate_intake", F.when(n % 4 == 1, "a").otherwise("z")).when(F.col("type") == "consent", "granted")
+    )
+    requests = c.select("item", action.alias("action"), F.when(n % 23 == 0, " ").otherwise("seen").alias("note"), value.alias("value"), F.array(F.lit("b")).alias("excluded"))
+    rows = c.select("item", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("row"), F.lit("90").alias("value"), n.cast("string").alias("owner_id"))
+    patients = table(spark, sf, "customer").select(n.cast("string").alias("patient_id"))
+    return items, X.decide(items, requests, rows, patients)
+
+
+@query(f"""WITH {_ITEMS} SELECT type, action, CASE WHEN problem IS NULL THEN CASE WHEN action IN ('dismiss', 'leave_unresolved', 'keep_both') THEN 'dismissed' ELSE 'resolved' END END AS outcome, problem, count(*) AS n FROM d GROUP BY ALL""")
+def p4_decisions(spark, sf):
+    """What reviewers' requests come to, by type of item."""
+    items, (decisions, _, _) = _decided(spark, sf)
+    return decisions.join(items.select("item", "type"), "item").groupBy("type", "action", "outcome", "problem").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ITEMS}, g AS (SELECT * FROM d WHERE problem IS NULL),
+ch AS (SELECT item, 'patient' AS entity_type, field, CASE action WHEN 'accept_proposal' THEN proposed ELSE CASE WHEN field = 'weight_kg' THEN '80.0' ELSE value END END AS to_value FROM g WHERE type = 'data_quality' AND action <> 'dismiss'
+ UNION ALL SELECT item, 'patient', 'bsn_check', CASE CASE action WHEN 'accept_proposal' THEN proposed ELSE value END WHEN '111222333' THEN 'valid' ELSE 'invalid' END FROM g WHERE type = 'data_quality' AND action <> 'dismiss' AND field = 'bsn'
+ UNION ALL SELECT item, 'intake', 'patient_id', value FROM g WHERE type = 'orphan_intake' AND action = 'attach' UNION ALL SELECT item, 'patient', 'weight_kg', '90.0' FROM g WHERE type = 'vocabulary' AND action = 'confirm'),
+st AS (SELECT *, CASE field WHEN 'city' THEN 'Gouda' WHEN 'bsn_check' THEN 'absent' END AS from_value FROM ch), w AS (SELECT item, entity_type, count(*) AS changed FROM st WHERE from_value IS DISTINCT FROM to_value GROUP BY 1, 2),
+a AS (SELECT item, entity_type, changed FROM w UNION ALL SELECT item, unnest(CASE type WHEN 'duplicate_intake' THEN ['intake', 'intake'] WHEN 'consent' THEN ['patient'] ELSE ['intake'] END), 0 FROM g WHERE item NOT IN (SELECT item FROM w))
+SELECT type, entity_type, changed, status, count(*) AS n FROM a JOIN (SELECT item, type, CASE WHEN action IN ('dismiss', 'leave_unresolved', 'keep_both') THEN 'dismissed' ELSE 'resolved' END AS status FROM g) USING (item) GROUP BY ALL""")
 def p1_resolve(spark, sf):
-    """Decisions as a snapshot step with audit rows."""
+    """Decisions as a step from one snapshot to the next: changed fields, audit rows, closed items."""
     from ..operators.decisions import resolve
 
-    p = table(spark, sf, "part").select("p_partkey", "p_brand")
-    wanted = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("item"), "p_partkey", F.lit("p_brand").alias("field"), F.lit("decided").alias("to_value"))
-    items = p.select(F.col("p_partkey").alias("item"), F.lit("open").alias("status"))
-    rows, audit, closed = resolve(p, wanted, items, "p_partkey", ["p_brand"], "r1", F.lit("2024-01-01").cast("date"))
-    n = audit.groupBy("item").agg(F.count("*").alias("audits"))
-    return rows.join(closed, rows.p_partkey == closed.item).join(n, "item", "left").select("p_partkey", "p_brand", "status", F.coalesce("audits", F.lit(0)).cast("long").alias("audits"))
+    items, (decisions, changes, subjects) = _decided(spark, sf)
+    k = F.col("c_custkey").cast("string").alias("id")
+    c = table(spark, sf, "customer")
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    stored = {"patient": c.select(k, F.lit("Gouda").alias("city"), none("weight_kg"), none("bsn"), F.lit("absent").alias("bsn_check")), "intake": c.select(k, none("patient_id"))}
+    _, audit, closed = resolve(stored, items, decisions, changes, subjects, "r1", F.lit("2024-01-01").cast("date"))
+    both = audit.join(closed.select("item", "type", "status"), "item")
+    return both.groupBy("type", "entity_type", F.coalesce(F.size("changes"), F.lit(0)).cast("long").alias("changed"), "status").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_P}, a AS (SELECT doc_id FROM p WHERE email IN (SELECT email FROM p GROUP BY 1 HAVING count(*) > 1)), b AS (SELECT doc_id FROM p WHERE phone IN (SELECT phone FROM p GROUP BY 1 HAVING count(*) > 1))
@@ -165,9 +218,8 @@ def k11_overlap(spark, sf):
     return I.overlap({"copies": of("email"), "like": of("phone")}, "doc_id")
 
 
-@query(f"""WITH {_P} SELECT x.doc_id AS submission, y.doc_id AS existing, list_aggregate(list_sort(list_distinct(list(x.kind))), 'string_agg', ',') AS kinds FROM k x JOIN k y USING (kind, value) WHERE x.doc_id % 10 = 3 AND y.doc_id % 10 <> 3 GROUP BY 1, 2""")
+@query(f"""WITH {_P} SELECT x.doc_id AS submission, kind, count(*) AS holders, min(y.doc_id) AS existing FROM k x JOIN k y USING (kind, value) WHERE x.doc_id % 10 = 3 AND y.doc_id % 10 <> 3 GROUP BY 1, 2""")
 def m19_possible_existing(spark, sf):
     """Submissions (ids that end in 3) that share keys with stored rows."""
     p = people(spark, sf).select("doc_id", "email", "phone")
-    m = X.possible_existing(p.where("doc_id % 10 = 3"), p.where("doc_id % 10 <> 3"), "doc_id", ["email", "phone"])
-    return m.select("submission", "existing", F.array_join("kinds", ",").alias("kinds"))
+    return X.possible_existing(p.where("doc_id % 10 = 3"), p.where("doc_id % 10 <> 3"), "doc_id", ["email", "phone"])

@@ -71,17 +71,32 @@ def m8_future_rows(spark, sf):
     return A.tally(X.future_rows(table(spark, sf, "events"), "ts", end), "event_type")
 
 
-@query("""WITH f AS (SELECT o_orderkey, lower(o_orderstatus) AS raw FROM orders WHERE o_orderkey % 9 = 2), r AS (SELECT *, row_number() OVER (PARTITION BY raw ORDER BY o_orderkey) AS n FROM f)
-SELECT 'status' AS field, raw, count(*) AS n, list_aggregate(list_sort(list(o_orderkey) FILTER (WHERE n <= 100)), 'string_agg', ',') AS rows FROM r GROUP BY raw""")
-def m2_unseen_values(spark, sf):
-    """M1, M2: unseen spellings with their number and first rows."""
+def _odd_statuses(spark, sf):
     from ..operators import normalise as N
 
     o = table(spark, sf, "orders")
     raw = F.when(F.col("o_orderkey") % 9 == 2, F.lower("o_orderstatus")).otherwise(F.col("o_orderstatus"))
-    rows = N.map_rows(o.select("o_orderkey", raw.alias("raw")), "o_orderkey", {"status": N.map_vocabulary(F.col("raw"), "status", {"F": "F", "O": "O", "P": "P"})})
-    u = X.unseen_values(N.evidence(rows, "o_orderkey", "flags"), "o_orderkey")
-    return u.select("field", "raw", "n", F.array_join(F.transform("rows", lambda x: x.cast("string")), ",").alias("rows"))
+    mapped = {"status": N.map_vocabulary(F.col("raw"), "status", {"F": "F", "O": "O", "P": "P"}), "weight_kg": N.map_weight(F.col("kg"), None, 30, 300)}
+    kg = F.when(F.col("o_orderkey") % 11 == 4, F.concat(F.lit("about "), F.col("o_orderkey") % 5)).otherwise("80")
+    rows = N.map_rows(o.select("o_orderkey", raw.alias("raw"), kg.alias("kg")), "o_orderkey", mapped)
+    return X.unseen_values(N.evidence(rows, "o_orderkey", "flags"), "o_orderkey", "legacy_intake")
+
+
+_ODD = """f AS (SELECT o_orderkey, 'status' AS field, lower(o_orderstatus) AS raw FROM orders WHERE o_orderkey % 9 = 2 UNION ALL SELECT o_orderkey, 'weight_kg', 'about ' || (o_orderkey % 5) FROM orders WHERE o_orderkey % 11 = 4),
+k AS (SELECT *, 'vocabulary|vocabulary|legacy_intake|' || field || CASE WHEN field = 'weight_kg' THEN '|NON_NUMERIC_TO_NULL|' ELSE '|VOCAB_UNKNOWN|' END || raw AS dedupe_key FROM f)"""
+
+
+@query(f"""WITH {_ODD} SELECT dedupe_key, field, field || CASE WHEN field = 'weight_kg' THEN ': `' ELSE ': unseen value `' END || raw || '` on ' || count(*) || ' rows' || CASE WHEN field = 'weight_kg' THEN ' is not a number: zero or not answered?' ELSE '' END AS title,
+ '{{"entity":"legacy_intake","field":"' || field || '","raw":"' || raw || '","n":' || count(*) || ',"first_row":"' || min(o_orderkey) || '"}}' AS payload FROM k GROUP BY dedupe_key, field, raw""")
+def m2_unseen_values(spark, sf):
+    """M2: an item per unseen spelling and per word where a number should be."""
+    return _odd_statuses(spark, sf)[0].select("dedupe_key", "field", "title", "payload")
+
+
+@query(f"WITH {_ODD} SELECT dedupe_key, o_orderkey FROM k")
+def m2_unseen_rows(spark, sf):
+    """M2: all rows of each of those items."""
+    return _odd_statuses(spark, sf)[1]
 
 
 @query("""WITH f AS (SELECT l_shipmode, p, min(k) AS o FROM (SELECT l_returnflag AS l_shipmode, (l_partkey % 50)::VARCHAR AS p, l_orderkey AS k FROM lineitem) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_shipmode ORDER BY o, p) AS n FROM f)

@@ -27,12 +27,12 @@ def d16_first_audit(spark, sf):
 
 
 @query("""WITH c AS (SELECT c_custkey, c_nationkey * 100 + (c_custkey % 90) AS e, floor(c_acctbal / 10)::BIGINT AS b FROM customer WHERE c_acctbal >= 0)
-SELECT x.c_custkey AS a, y.c_custkey AS b FROM c x JOIN c y ON x.e = y.e AND x.c_custkey < y.c_custkey UNION SELECT x.c_custkey, y.c_custkey FROM c x JOIN c y ON x.b = y.b AND x.c_custkey < y.c_custkey""")
+SELECT x.c_custkey AS a, min(y.c_custkey) AS b, count(*) FILTER (WHERE x.e = y.e) AS by_e, count(*) FILTER (WHERE x.b = y.b) AS by_q FROM c x JOIN c y ON x.e = y.e OR x.b = y.b WHERE x.c_custkey % 7 = 3 AND y.c_custkey % 7 <> 3 GROUP BY 1""")
 def d17_or_match(spark, sf):
-    """Agreement in either of two columns, as two equi joins."""
+    """Rows (a seventh of them, the submissions) that agree with others in either of two columns, as two equi joins."""
     c = table(spark, sf, "customer").where("c_acctbal >= 0").select("c_custkey", (F.col("c_nationkey") * 100 + F.col("c_custkey") % 90).cast("long").alias("e"), F.floor(F.col("c_acctbal") / 10).alias("b"))
     x, y = c.select(F.col("c_custkey").alias("a"), "e", F.col("b").alias("q")), c.select(F.col("c_custkey").alias("b"), F.col("e").alias("e2"), F.col("b").alias("q2"))
-    return A.either_match(x, y, [("e", "e2"), ("q", "q2")], ("a", "b")).where("a < b")
+    return A.either_match(x.where("a % 7 = 3"), y.where("b % 7 <> 3"), [("e", "e2"), ("q", "q2")], ("a", "b"))
 
 
 @query("""SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS word FROM documents) WHERE word <> '' GROUP BY 1 HAVING count(*) > 50""")

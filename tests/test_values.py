@@ -94,13 +94,36 @@ def test_mappers(spark):
     h = many(spark, ["180", "18", "1.8", ""], lambda c: N.map_integer(c, "height_cm", 100, 230))
     assert [x.value for x in h] == [180, None, None, None]
     t = many(spark, ["2024-10-27T02:30:00", "27-10-2024", ""], N.map_wall_time)
-    assert [str(x.value) if x.value else None for x in t] == ["2024-10-27 00:30:00", None, None]
+    assert [[(r.rule_code, r.to_value, r.evidence) for r in x.records] for x in t] == [[("TIMESTAMP_ZONE_ASSUMED", "2024-10-27T00:30:00.000Z", '{"zone":"Europe/Amsterdam","ambiguous":true}')], [], []]
+    assert [[f.kind for f in x.flags] for x in t] == [[], ["timestamp_unparsed"], ["timestamp_unparsed"]] and t[0].value is not None
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"])
+def test_times_do_not_depend_on_the_session(spark, zone):
+    from ledgermill.operators import aggregates as A
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        wall = lambda x: F.lit(x).cast("timestamp_ntz")
+        r = spark.range(1).select(
+            F.unix_micros(D.wall_to_instant(wall("2024-10-27 02:30:00"))["at"]).alias("at"), D.day_of(wall("2024-07-01 22:30:00")).cast("string").alias("day"),
+            A.age_window(wall("2024-01-19 23:00:00"), "2024-01-20", "today").alias("a"), A.age_window(wall("2024-01-19 22:59:59"), "2024-01-20", "today").alias("b")).first()
+        assert tuple(r) == (1729989000000000, "2024-07-02", True, False)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_consent_events_without_time_or_action(spark):
+    e = spark.createDataFrame([(1, "2024-07-01T12:00:00", "granted"), (2, "x", "granted"), (3, "2024-07-01T12:00:00", "maybe")], "id int, at string, action string")
+    got = {r.id: r for r in N.map_consent_event(e, "id", "at", "action", {"granted": "granted", "revoked": "revoked"}).collect()}
+    assert got[1].event.action == "granted" and got[2].event is None and got[3].event is None and [f.kind for f in got[3].flags] == ["vocabulary_unseen"]
 
 
 def test_terms(spark):
     seg = many(spark, ["a, b;c,5 d; ,e"], R.split_segments)[0]
     assert seg == ["a", "b", "c,5 d", "e"]
-    hits = one(spark, R.match_terms(F.array(F.lit("Thyroid-Cancer 2"), F.lit("cancerous thyroid"), F.lit("no")), ["cancer", "thyroid cancer"]))
+    hits = one(spark, R.match_terms(R.read_segments(F.array(F.lit("Thyroid-Cancer 2; cancerous thyroid"), F.lit("no"))), ["cancer", "thyroid cancer"]))
     assert [(h["text"], h["term"]) for h in hits] == [("Thyroid-Cancer 2", "cancer")]
 
 
@@ -124,8 +147,13 @@ def test_rules(spark):
     assert verdict(spark, kg=None, cm=None).reasons[0] == "BMI not evaluated: weight and height missing"
     band = verdict(spark, kg=112.0)
     assert band.matched == ["bmi_band_without_condition"] and "28.0" in band.reasons[0]
-    assert verdict(spark, kg=112.0, conditions=["one of the many"]).outcome == "auto_cleared"
-    assert verdict(spark, other=["you idiot"]).matched == ["flag_condition"]
+    assert verdict(spark, kg=112.0, conditions=["no; PCOS (2019)"]).outcome == "auto_cleared"
+    assert verdict(spark, kg=112.0, conditions=["no; PCOS (2019)"]).reasons[0] == "note: BMI 28.0 in the 27–30 band, weight-related condition present (PCOS (2019))"
+    assert verdict(spark, kg=112.0, other=["pcos"]).outcome == "auto_flagged"
+    assert verdict(spark, other=["had Pancreatitis"]).reasons == ["flagged: self-reported history of thyroid cancer / pancreatitis (had Pancreatitis)"]
+    drug = verdict(spark, medications=["Ozempic 0,5 mg; aspirin", "my wegovy"], declared=True)
+    assert drug.matched == ["glp1_medication"] and drug.reasons == ["flagged: current GLP-1 medication (Ozempic 0,5 mg; my wegovy)"]
+    assert verdict(spark, declared=True).reasons == ["flagged: current GLP-1 medication (declared by patient)"]
 
 
 def test_index_boundaries(spark):
@@ -143,7 +171,20 @@ def test_shown_numbers_keep_their_side(spark):
     assert x == ["26.96", "26.999", "26.99999999", "27.0", "30.0"]
 
 
-@pytest.mark.parametrize("bad", [{"flag_band": {"min": 31, "max": 30}}, {"flag_terms": ["Upper"]}, {"nonsense": 1}, {"reject_below": 29.0}])
+BMI, BAND = ruleset.DEFAULT["bmi"], ruleset.DEFAULT["bmi"]["flag_band"]
+
+
+@pytest.mark.parametrize("bad", [
+    {"bmi": {**BMI, "flag_band": {**BAND, "min": 30}}}, {"bmi": {**BMI, "reject_below": 30}}, {"bmi": {**BMI, "rounding": "half"}}, {"glp1_terms": []}, {"glp1_terms": ["-"]},
+    {"flag_condition_terms": ["Upper"]}, {"precedence": {"absolute_rejects": ["nonsense"], "flag_preempts_reject": True}}, {"age": {"minimum_years": 0}}, {"version": "v2"},
+    {"plausibility": {**ruleset.DEFAULT["plausibility"], "height_cm": {"min": 5, "max": 5}}}, {"weight_divergence": {}}, {"age": None},
+])
 def test_bad_rulesets_are_refused(bad):
     with pytest.raises(ValueError):
         ruleset.parse({**ruleset.DEFAULT, **bad})
+
+
+def test_rulesets_that_pass():
+    assert ruleset.parse({**ruleset.DEFAULT, "note": 1}) == ruleset.load()
+    inside = ruleset.parse({**ruleset.DEFAULT, "bmi": {**BMI, "reject_below": 29}, "glp1_terms": [" ozempic "]})
+    assert inside.bmi["reject_below"] == 29 and inside.glp1_terms == ["ozempic"]
