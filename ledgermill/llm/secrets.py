@@ -37,7 +37,8 @@ KINDS = ("assign", "access", "hex", "lexed")
 #: Sensitivity of a target name by the words in it.
 _WEIGHT = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 1.0,
            "credential": 0.9, "credentials": 0.9, "auth": 0.7, "authtoken": 1.0, "accesskey": 0.9, "privatekey": 1.0}
-_PAIRS = {("api", "key"): 1.0, ("access", "key"): 0.9, ("private", "key"): 1.0, ("auth", "key"): 0.9}
+_PAIRS = {("api", "key"): 1.0, ("access", "key"): 0.9, ("private", "key"): 1.0, ("auth", "key"): 0.9, ("secret", "key"): 1.0,
+          ("pass", "word"): 1.0, ("pass", "phrase"): 1.0, ("pass", "wd"): 1.0, ("pass", "key"): 0.9, ("signing", "key"): 0.9}
 _NOT_SECRET = re.compile(
     r"(?i)example|changeme|placeholder|your[_-]|dummy|sample|redacted|^x+$|^\*+$|^(none|null|true|false|undefined)$"
 )
@@ -50,7 +51,7 @@ _LEX = re.compile(
 )
 _TERM = re.compile(
     r"""(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\\\n]*`)|\$\{?(?P<ref>[A-Za-z_]\w*)\}?"""
-    r"""|(?P<bare>[\w+/.=~!@%^&*-]+)""",
+    r"""|(?P<bare>[\w+/.~!@%^&*-]+={0,2})""",  # equals signs end a literal, so that literals don't run into each other
     re.ASCII,
 )
 _PLUS = re.compile(r"[ \t]*\+[ \t]*")
@@ -184,7 +185,10 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """`docs` with secrets masked in text, n_chars (where there is one) following it."""
+    """`docs` with secrets masked in text, n_chars (where there is one) following it, all other columns as they are.
+
+    Null texts stay null, empty and clean ones as they are; repeated rows are masked alike. An empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

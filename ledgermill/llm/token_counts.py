@@ -81,6 +81,8 @@ class LongestMatch:
             open_ = open_[state[open_] != 1]
 
     def counts(self, words: list[str]) -> np.ndarray:
+        """Pieces of each word. All words take a step at once, so the longest word decides the number of steps: the work is
+        linear in the letters, but a word of a million letters takes a million small steps."""
         order = np.argsort([-len(w) for w in words], kind="stable")
         lengths = np.array([len(words[i]) for i in order], dtype=np.int64)
         cps = np.frombuffer("".join(words[i] for i in order).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)

@@ -57,6 +57,75 @@ def test_constants_join_and_placeholders_are_no_secrets():
     assert list(joined) == [(5, 17)]
 
 
+def _base_by_hand(t):
+    """Base spans without regular expressions: each kind's leftmost matches, one after another."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    out = []
+
+    def run(i, allowed):
+        while i < len(t) and t[i] in allowed:
+            i += 1
+        return i
+
+    value = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    i = 0
+    while i < len(t):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, i):
+                j = i + len(word)
+                j += j < len(t) and t[j] in "\"'"
+                j = run(j, " ")
+                if j < len(t) and t[j] in ":=":
+                    j = run(j + 1, " ")
+                    # an opening quote is no part of the value
+                    j += j < len(t) and t[j] in "\"'"
+                    k = run(j, value)
+                    if k > j:
+                        end = k
+                        out += [("assign", i, k)] if k - j >= 8 else []
+                break
+        i = end or i + 1
+    for kind, head, allowed, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(t):
+            k = run(i + len(head), allowed) if t.startswith(head, i) else i
+            if k > i + len(head):
+                out += [(kind, i, k)] if k - i >= least else []
+                i = k
+            else:
+                i += 1
+    return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+def test_base_spans_equal_a_scan_by_hand(spark):
+    rng = np.random.default_rng(31)
+    parts = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "=", ":", " ", "  ", '"', "'", "AKIA", "ABCD1234", "abc123de", "0123456789abcdef", "f" * 31, "x", "é", "-._/+", "\n", "cloud.access.key"]
+    made = ["".join(rng.choice(parts, int(rng.integers(1, 14)))) for _ in range(3000)]
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
+    assert sum(bool(_base_by_hand(t)) for t in made) > 200
+    for t in [*made, *real]:
+        spans = secrets.scan(t)
+        assert [(s.kind, s.start, s.end) for s in spans if s.kind != "lexed"] == _base_by_hand(t), t
+
+
+def test_lexer_adds_spans_in_documents(spark):
+    names = ["cloud.access.key", "private.key", "db_pass_word", "clientSecret", "AUTH-KEY"]
+    d = spark.createDataFrame([(i, f"some prose\n{n} = 'Zk39dkQpL0aa91Xx'\nmore") for i, n in enumerate(names)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan_documents(d).collect()}
+    assert all("lexed:" in rows[i].spans or rows[i].n_assign for i in range(len(names))) and sum(rows[i].n_lexed for i in range(len(names))) >= 4
+    assert secrets.redact_documents(d).where("text like '%Zk39%'").count() == 0
+
+
+@pytest.mark.parametrize("text", ["a" * 400_000, "a." * 200_000, "x=" * 100_000, "token=" * 50_000, "secret: pass+" * 30_000, "QUJD" * 100_000 + "=", "'" * 200_000])
+def test_lexer_is_linear(text):
+    import time
+
+    began = time.perf_counter()
+    secrets.scan(text)
+    assert time.perf_counter() - began < 20
+
+
 def test_long_s_is_no_ascii_letter():
     assert secrets.scan("paſſword = abcdefgh1") == []
 
