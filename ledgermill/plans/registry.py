@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import events, identity, items, more, normalising, profiling, relational, scans  # noqa: E402, F401
+from . import events, identity, items, more, normalising, profiling, relational, reports, scans  # noqa: E402, F401
