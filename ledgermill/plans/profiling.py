@@ -141,7 +141,11 @@ def b27_date_order(spark, sf):
     return table(spark, sf, "orders").select(D.classify_order(raw).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT count(*) AS rows, count(*) FILTER (WHERE c_acctbal < 0) AS negative, count(*) FILTER (WHERE c_nationkey IS NULL) AS no_nation FROM customer""")
+@query("""SELECT 'negative balance' AS failed, count(*) AS n FROM customer WHERE c_acctbal < 0 HAVING count(*) > 0 UNION ALL SELECT 'low key', count(*) FROM customer WHERE c_custkey < 10 HAVING count(*) > 0
+UNION ALL SELECT 'no nation', count(*) FROM customer WHERE c_nationkey IS NULL HAVING count(*) > 0""")
 def c8_violations(spark, sf):
-    """Rows that break a table's checks."""
-    return table(spark, sf, "customer").agg(F.count("*").alias("rows"), F.count_if(F.col("c_acctbal") < 0).alias("negative"), F.count_if(F.col("c_nationkey").isNull()).alias("no_nation"))
+    """Rows that break a table's checks, by check."""
+    from ..operators.normalise import failed_checks
+
+    checks = {"negative balance": F.col("c_acctbal") >= 0, "low key": F.col("c_custkey") >= 10, "no nation": F.col("c_nationkey").isNotNull()}
+    return failed_checks(table(spark, sf, "customer"), checks).select(F.explode("failed").alias("failed")).groupBy("failed").agg(F.count("*").alias("n"))

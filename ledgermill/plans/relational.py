@@ -104,13 +104,10 @@ def e15_crosstab(spark, sf):
     return A.crosstab(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@query("""SELECT DISTINCT a.l_returnflag, b.l_linestatus FROM (SELECT DISTINCT l_returnflag FROM lineitem) a, (SELECT DISTINCT l_linestatus FROM lineitem) b
-EXCEPT SELECT l_returnflag, l_linestatus FROM lineitem WHERE l_quantity > 25 AND l_returnflag <> 'N'""")
+@query("SELECT a.p_brand, b.size FROM (SELECT DISTINCT p_brand FROM part) a, (SELECT DISTINCT p_size AS size FROM part) b EXCEPT SELECT p_brand, p_size FROM part")
 def e21_variation(spark, sf):
-    """Combinations that never occur (among large lines, one flag aside)."""
-    li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity")
-    every = li.select("l_returnflag").distinct().crossJoin(F.broadcast(li.select("l_linestatus").distinct()))  # two flags against each other
-    return every.join(li.where((F.col("l_quantity") > 25) & (F.col("l_returnflag") != "N")).select("l_returnflag", "l_linestatus").distinct(), ["l_returnflag", "l_linestatus"], "left_anti")
+    """Brands and sizes that never occur together."""
+    return A.variation(table(spark, sf, "part").select("p_brand", F.col("p_size").alias("size")), "p_brand", "size")
 
 
 @query("SELECT user_id FROM events UNION SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
