@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_GROUPS = 100_000
+EDGES_PER_PARTITION = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,14 +110,11 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
+        # few edges in few partitions: else every task of every round writes files for all the others
+        few = 1 + before[0] // EDGES_PER_PARTITION
+        e = e.coalesce(few)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = (
-            both.join(_minimum(both), "a")
-            .where("b > a")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
+        large = both.join(_minimum(both), "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = _minimum(large)
         small = (
             large.join(low, "a")
@@ -126,7 +124,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             .distinct()
         )
-        e = cut(small)
+        e = cut(small.coalesce(few))
         after = _signature(e)
         if after == before:
             break

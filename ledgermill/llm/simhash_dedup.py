@@ -323,7 +323,7 @@ def _compared(members: DataFrame, shingles: DataFrame) -> DataFrame:
     """Edges (a, b) between roots: every member that asks against every held one of its block (key, i, j)."""
     rows = members.join(shingles, "node").select("key", "i", "j", "asks", "root", "shingles")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(lean(_block_batches), "a long, b long").distinct()
+    return rows.mapInArrow(lean(_block_batches), "a long, b long")
 
 
 def _slice(column: str, parts: F.Column) -> F.Column:
@@ -340,9 +340,10 @@ def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     So components come out as if all pairs under a key had been compared, and only links that join
     two groups leave a block.
     """
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", F.col("base").alias("root"))
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "same", F.col("base").alias("root"))
     crowd = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    need = nodes.join(crowd.select("node").distinct(), "node", "left_semi").select("node", "same")
+    need = cut(crowd.select("node", "same").distinct())
+    crowd = crowd.drop("same")
     if need.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         need = F.broadcast(need)  # else the texts are shuffled to the ids
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(need, "node")
@@ -356,9 +357,8 @@ def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     first = asked.join(of, "hub").select(F.col("hub.node").alias("key"), zero.alias("i"), _slice("node", F.col("parts")).alias("j"), F.lit(False).alias("asks"), "node", "root")
     ask = of.select(F.col("hub.node").alias("key"), zero.alias("i"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("j"), F.lit(True).alias("asks"), "hub.node", "hub.root")
-    roots = components(_compared(first.unionByName(ask), shingles))
-
-    live = crowd.join(roots.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", "node", F.coalesce("to", "root").alias("root"))
+    near = cut(_compared(first.unionByName(ask), shingles))
+    live = crowd.join(components(near).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", "node", F.coalesce("to", "root").alias("root"))
     live = cut(live)
     groups = live.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
         F.max_by("root", F.struct("c", -F.col("root"))).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).where("n > most")
@@ -367,7 +367,7 @@ def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     held = apart.select("key", F.explode(F.sequence(zero, F.col("asking") - 1)).alias("i"), _slice("node", F.col("held")).alias("j"), F.lit(False).alias("asks"), "node", "root")
     ask = apart.where("root <> main").select("key", _slice("node", F.col("asking")).alias("i"), F.explode(F.sequence(zero, F.col("held") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "root")
     more = _compared(held.unionByName(ask), shingles)
-    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return components(near.unionByName(more))
 
 
 def keep_representatives(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -380,7 +380,7 @@ def keep_representatives(docs: DataFrame, words: int = WORDS, radius: int = RADI
     """
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = cut(src.mapInArrow(lean(_sketch_batches(words)), "doc_id long, fp long, same binary, keys array<long>"))
-    named = cut(_labelled(own, radius).where("doc_id is not null").select("doc_id", "same", "keys", F.col("component_id").alias("base")))
+    named = _labelled(own, radius).where("doc_id is not null").withColumnRenamed("component_id", "base")
     # a node per distinct text, all of its group
     nodes = cut(named.groupBy("base", "same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
     joined = copy_links(nodes, docs).where("node <> root").select(F.col("node").alias("base"), F.lit(True).alias("joined"))
