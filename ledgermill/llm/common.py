@@ -46,6 +46,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """A table with a row a group: broadcast while it has few rows by count, else joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS else rows
+
+
 def hashed_first(rows: DataFrame, group: str, most: Column | int) -> DataFrame:
     """At most `most` rows of each value of `group`, in order of a hash of doc_id (equal ids in any order).
 
