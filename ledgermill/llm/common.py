@@ -51,20 +51,36 @@ def bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS else rows
 
 
+HEAVY_KEYS = 10_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined to `classes`, which has one row a key at most; `rows` is read three times.
+
+    Keys that hold a ten-thousandth of the rows or more, ten thousand at most, are broadcast; so no key that goes by the
+    shuffle has more rows than that, however large a class is.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    heavy = cut(counts.where(F.col("_n") * HEAVY_KEYS >= total).select(key).join(classes, key, how))
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(classes, key, how))
+
+
 def hashed_first(rows: DataFrame, group: str, most: Column | int) -> DataFrame:
-    """At most `most` rows of each value of `group`, in order of a hash of doc_id (equal ids in any order).
+    """(group, doc_id): at most `most` distinct ids of each value of `group`, in order of a hash of the id. However many
+    rows repeat an id, it is drawn once.
 
-    The counts of the groups come first; rows whose hash lies far beyond the share that a group may keep are
-    dropped where they are read, so what is ranked stays near the bound however large a group or the table is.
+    Distinct ids are counted first, by a sketch that errs by a twentieth; ids whose hash lies beyond twice the share
+    that a group may keep are dropped where they are read, so what is ranked stays near the bound however large a group
+    or the table is.
     """
     limit = F.lit(most) if isinstance(most, int) else most
-    n = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    if n.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
-        n = F.broadcast(n)
+    n = bounded(rows.groupBy(group).agg(F.approx_count_distinct("doc_id", 0.05).alias("_n")))
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / F.lit(float(1 << 53))
-    likely = rows.join(n, group).withColumn("_u", drawn).where(F.col("_u") * F.col("_n") <= limit + 8 * F.sqrt(limit.cast("double")) + 64)
+    likely = rows.join(n, group).withColumn("_u", drawn).where(F.col("_u") * F.col("_n") <= 2 * limit + 8 * F.sqrt(limit.cast("double")) + 64)
     w = Window.partitionBy(group).orderBy("_u", "doc_id")
-    return likely.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= limit).select(*rows.columns)
+    return likely.select(group, "doc_id", "_u").distinct().withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= limit).select(group, "doc_id")
 
 
 def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -135,17 +135,18 @@ def is_held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """(lang, text): at most `per_language` labelled rows of each language, in order of a hash of the id.
+    """(lang, text): one text for each of at most `per_language` labelled ids of each language, in order of a hash of the id.
 
-    Ids and languages alone are ranked; texts are then fetched for the chosen ids. Rows that repeat a chosen
-    id and its language all take part.
+    Ids and languages alone are ranked; texts are then fetched for the chosen ids. Of rows that repeat an id and its
+    language the least text takes part.
     """
     ids = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     chosen = hashed_first(ids.select("lang", "doc_id"), "lang", per_language)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     if chosen.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
         chosen = F.broadcast(chosen)  # with very many languages the join is shuffled instead
-    return ids.join(chosen, (ids.doc_id == chosen._id) & (ids.lang == chosen._lang), "left_semi").select("lang", "text")
+    rows = ids.join(chosen, (ids.doc_id == chosen._id) & (ids.lang == chosen._lang), "left_semi").select("doc_id", "lang", "text")
+    return rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, grams_per_language: int = GRAMS_PER_LANGUAGE,
