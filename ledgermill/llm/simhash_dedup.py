@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, lean
+from .common import components, cut, join_classes, lean
 
 RADIUS = 3
 WORDS = 3
@@ -164,7 +164,7 @@ def _labelled(own: DataFrame, radius: int) -> DataFrame:
         "fp", "least_id", "class_size", F.coalesce("root", "fp").alias("root")
     )
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return own.join(placed.join(named, "root").select("fp", "class_size", "component_id"), "fp")
+    return join_classes(own, placed.join(named, "root").select("fp", "class_size", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
 COPY_WORDS = 5
 BANDS, BAND_ROWS = 24, 5
 BLOCK = 512  # members of a key that a task compares with as many others at once
+BLOCK_WORDS = 2_000_000  # and their words together: longer texts stand in smaller blocks
 SHINGLES_AT_ONCE = 4096
 MAX_BROADCAST_IDS = 1_000_000
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64)
@@ -225,15 +226,16 @@ def band_keys(words: list[str]) -> list[int]:
 def _sketch_batches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, same, keys = [], [], []
+            fps, same, keys, sizes = [], [], [], []
             for t in b.column(1):
                 w = _words(t.as_py())
+                sizes.append(len(w))
                 fps.append(majority(_digests(w, words) if w else []))
                 same.append(_same(w))
                 keys.append(band_keys(w))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "same", "keys"],
+                [b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
+                names=["doc_id", "fp", "same", "keys", "size"],
             )
 
     return run
@@ -326,12 +328,18 @@ def _compared(members: DataFrame, shingles: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(_block_batches), "a long, b long")
 
 
+def _parts(n: F.Column, words: F.Column) -> F.Column:
+    """Into how many slices members go: by their number and by the length of their texts."""
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS))
+
+
 def _slice(column: str, parts: F.Column) -> F.Column:
     return F.pmod(F.xxhash64(column), parts)
 
 
 def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root): bases that near copies join, root the least. nodes: node (a doc_id), base, same, keys.
+    """(node, root): bases that near copies join, root the least. nodes: node (a doc_id), base, same, keys,
+    size (words of the text). Texts without words have no key and no link.
 
     Nodes are distinct texts, those with one base are joined already; nodes under one key are candidates.
     First each key's members are held against one of them, that with the most others under its keys (an original
@@ -340,7 +348,7 @@ def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     So components come out as if all pairs under a key had been compared, and only links that join
     two groups leave a block.
     """
-    keyed = nodes.select(F.explode("keys").alias("key"), "node", "same", F.col("base").alias("root"))
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", "same", "size", F.col("base").alias("root"))
     crowd = cut(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
     need = cut(crowd.select("node", "same").distinct())
     crowd = crowd.drop("same")
@@ -352,17 +360,18 @@ def copy_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
     mates = crowd.groupBy("node").agg(F.sum("n").alias("mates"))
     hubs = crowd.join(mates, "node").groupBy("key").agg(F.max_by(F.struct("node", "root"), F.struct("mates", -F.col("node"))).alias("hub"))
-    asked = cut(crowd.join(hubs, "key").where("root <> hub.root").select("hub", "node", "root").distinct())
-    of = asked.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    asked = cut(crowd.join(hubs, "key").where("root <> hub.root").select("hub", "node", "root", "size").distinct())
+    of = asked.groupBy("hub").agg(_parts(F.count("*"), F.sum("size")).alias("parts"))
     zero = F.lit(0).cast("long")
     first = asked.join(of, "hub").select(F.col("hub.node").alias("key"), zero.alias("i"), _slice("node", F.col("parts")).alias("j"), F.lit(False).alias("asks"), "node", "root")
     ask = of.select(F.col("hub.node").alias("key"), zero.alias("i"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("j"), F.lit(True).alias("asks"), "hub.node", "hub.root")
     near = cut(_compared(first.unionByName(ask), shingles))
-    live = crowd.join(components(near).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", "node", F.coalesce("to", "root").alias("root"))
+    live = crowd.join(components(near).select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", "node", "size", F.coalesce("to", "root").alias("root"))
     live = cut(live)
-    groups = live.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(
-        F.max_by("root", F.struct("c", -F.col("root"))).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).where("n > most")
-    parts = groups.select("key", "main", F.ceil(F.col("n") / BLOCK).alias("held"), F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("asking"))
+    groups = live.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("size").alias("s")).groupBy("key").agg(
+        F.max_by(F.struct("root", "c", "s"), F.struct("c", -F.col("root"))).alias("main"), F.sum("c").alias("n"), F.sum("s").alias("words")).where("n > main.c")
+    rest = _parts(F.col("n") - F.col("main.c"), F.col("words") - F.col("main.s"))
+    parts = groups.select("key", F.col("main.root").alias("main"), _parts(F.col("n"), F.col("words")).alias("held"), rest.alias("asking"))
     apart = live.join(parts, "key")
     held = apart.select("key", F.explode(F.sequence(zero, F.col("asking") - 1)).alias("i"), _slice("node", F.col("held")).alias("j"), F.lit(False).alias("asks"), "node", "root")
     ask = apart.where("root <> main").select("key", _slice("node", F.col("asking")).alias("i"), F.explode(F.sequence(zero, F.col("held") - 1)).alias("j"), F.lit(True).alias("asks"), "node", "root")
@@ -379,10 +388,10 @@ def keep_representatives(docs: DataFrame, words: int = WORDS, radius: int = RADI
     only where the ids that go are too many to broadcast.
     """
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    own = cut(src.mapInArrow(lean(_sketch_batches(words)), "doc_id long, fp long, same binary, keys array<long>"))
+    own = cut(src.mapInArrow(lean(_sketch_batches(words)), "doc_id long, fp long, same binary, keys array<long>, size long"))
     named = _labelled(own, radius).where("doc_id is not null").withColumnRenamed("component_id", "base")
     # a node per distinct text, all of its group
-    nodes = cut(named.groupBy("base", "same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")))
+    nodes = cut(named.groupBy("base", "same").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("size").alias("size")))
     joined = copy_links(nodes, docs).where("node <> root").select(F.col("node").alias("base"), F.lit(True).alias("joined"))
     kept = (F.col("doc_id") == F.col("base")) & F.col("joined").isNull()
     fate = named.select("doc_id", "base").join(joined, "base", "left").groupBy(F.col("doc_id").alias("id")).agg(
