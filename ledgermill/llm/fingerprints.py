@@ -17,7 +17,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_classes
 
 RADIUS = 3
 BITS = 64
@@ -84,35 +84,37 @@ def neighbours(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return a.join(b, "key").where(near).select("a", "b")
 
 
-def _bucket(ids: DataFrame, c: Column) -> tuple[Column, int]:
-    """(an expression that cuts the range of ids into ordered buckets of about ROWS_PER_BUCKET, buckets in a quantile).
+def _cuts(n: int, accuracy: int) -> Column:
+    return F.percentile_approx("doc_id", [i / n for i in range(1, n)], accuracy)
 
-    Quantiles (at most MAX_QUANTILES) first, then even steps between two of them, as many as the rows ask for, so that
-    buckets stay of like size however large the table is. Null ids get -1.
+
+def _place(c: Column, cuts: Column) -> Column:
+    """How many cuts lie at or below c: all cuts of a level are looked at, MAX_QUANTILES - 1 at most."""
+    return F.size(F.filter(cuts, lambda x: x <= c)).cast("long")
+
+
+def _bucketed(src: DataFrame) -> tuple[DataFrame, int]:
+    """(src with `bucket`, buckets in a quantile): ids cut into ordered ranges of about ROWS_PER_BUCKET rows; null ids get -1.
+
+    Quantiles first, then those of each quantile's own ids, and so once more where rows ask for it: a range's size doesn't
+    depend on how ids are spread, and only equal ids can make one large. Beyond MAX_QUANTILES ** 3 ranges they grow.
+    Level by level a table of cuts is broadcast: 64 or 4,096 rows of 63 ids at most.
     """
-    at = [i / MAX_QUANTILES for i in range(1, MAX_QUANTILES)]
-    seen = ids.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.percentile_approx("doc_id", at, 10_000).alias("q")).first()
-    parts = max(1, -(-seen["n"] // ROWS_PER_BUCKET))
-    if parts == 1 or seen["lo"] is None:
-        return F.when(c.isNull(), -1).otherwise(0).cast("long"), 1
-    cuts = min(parts, MAX_QUANTILES)
-    steps = -(-parts // cuts)
-    inner = {seen["q"][round(i * MAX_QUANTILES / cuts) - 1] for i in range(1, cuts)}
-    edges = sorted({seen["lo"], *inner, seen["hi"] + 1})
-
-    def within(i: int) -> Column:
-        if steps == 1:
-            return F.lit(i).cast("long")
-        part = F.floor((c.cast("double") - float(edges[i])) * steps / max(1.0, float(edges[i + 1] - edges[i])))
-        return F.lit(i * steps) + F.greatest(F.lit(0), F.least(part.cast("long"), F.lit(steps - 1)))
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return within(lo)
-        mid = (lo + hi) // 2 + 1
-        return F.when(c >= F.lit(edges[mid]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
-
-    return F.when(c.isNull(), -1).otherwise(tree(0, len(edges) - 2)).cast("long"), steps
+    ids = src.select("doc_id").where("doc_id is not null")
+    parts = max(1, -(-ids.count() // ROWS_PER_BUCKET))
+    if parts == 1:
+        return src.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("long")), 1
+    depth = next((d for d in (1, 2) if parts <= MAX_QUANTILES**d), 3)
+    fan = max(2, min(MAX_QUANTILES, next(k for k in range(2, parts + 1) if k**depth >= parts)))
+    first = ids.agg(_cuts(fan, 10_000).alias("q")).first()["q"]
+    in_first = _place(F.col("doc_id"), F.array(*[F.lit(x).cast("long") for x in first]))
+    known, placed = ids.withColumn("bucket", in_first), src.withColumn("bucket", in_first)
+    for _ in range(1, depth):
+        cuts = F.broadcast(cut(known.groupBy("bucket").agg(_cuts(fan, 2_000).alias("_cuts"))))
+        deeper = (F.col("bucket") * fan + _place(F.col("doc_id"), F.col("_cuts"))).alias("bucket")
+        known = known.join(cuts, "bucket").select("doc_id", deeper)
+        placed = placed.join(cuts, "bucket", "left").select(*src.columns, deeper)
+    return placed.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("bucket")).cast("long")), fan ** (depth - 1)
 
 
 def _beside(heads: DataFrame, steps: int, value: str, up: bool) -> DataFrame:
@@ -142,9 +144,7 @@ def edited(docs: DataFrame) -> tuple[DataFrame, int]:
     below as a guest, so texts are moved once and no task sees the whole order.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    bucket, steps = _bucket(ids, F.col("doc_id"))
-    src = src.withColumn("bucket", bucket)
+    src, steps = _bucketed(src)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
     heads = cut(src.groupBy("bucket").agg(F.max("doc_id").alias("top")))  # a row a bucket
     if heads.isEmpty():
@@ -187,7 +187,7 @@ def fingerprint_documents(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     own = own.withColumn("fn", F.coalesce("_lead", "over"))
     pairs = neighbours(own.select("fp"), radius)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("_fp")).groupBy("_fp").agg(F.count("*").alias("n_near"))
-    return own.join(degree, own.fp == degree._fp, "left").select(
+    return join_classes(own, degree.withColumnRenamed("_fp", "fp"), "fp", "left").select(
         "doc_id",
         "n_chars",
         F.col("sha").alias("edited_sha256"),

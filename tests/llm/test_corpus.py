@@ -363,10 +363,11 @@ def _least_of_groups(texts):
     return {find(i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("block", [4, 512])
-def test_groups_whose_members_are_apart_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "words"), [(4, 2_000_000), (512, 2_000_000), (512, 250)])
+def test_groups_whose_members_are_apart_equal_brute_force(spark, monkeypatch, block, words):
     """Copies with up to six changed words: many are near some member of the group but not near its original."""
     monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(simhash_dedup, "BLOCK_WORDS", words)
     rng = np.random.default_rng(21)
     rows = [t for _ in range(4) for t in _copies(rng, 60, 6)]
     rng.shuffle(rows)
@@ -535,6 +536,35 @@ def test_sample_is_bounded_and_fair(spark):
     assert abs(np.mean([r.doc_id for r in got if r.lang == "big"]) - 10_000) < 1_500
 
 
+def test_rows_that_repeat_an_id_delete_no_language(spark):
+    from ledgermill.llm.common import hashed_first
+
+    many = spark.createDataFrame([(i, "en") for i in range(400)] + [(9, "de")] * 6000 + [(i % 7, "fr") for i in range(6000)], "doc_id long, lang string")
+    got = hashed_first(many.repartition(5), "lang", 300).collect()
+    assert {g: sum(r.lang == g for r in got) for g in ("en", "de", "fr")} == {"en": 300, "de": 1, "fr": 7}
+    assert len({(r.doc_id, r.lang) for r in got}) == len(got)
+    rng = np.random.default_rng(3)
+    say = lambda words: " ".join(rng.choice(words.split(), 40))
+    en, de = "the quick brown fox jumps over a lazy dog while it rains", "der schnelle braune fuchs springt weit über den faulen hund und schläft"
+    rows = [(i, say(en), "en") for i in range(400)] + [(1000, say(de), "de") for _ in range(6000)]
+    m = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=1500)
+    assert m.languages == ["de", "en"]
+    assert m.predict(say(de))[0] == "de" and m.predict(say(en))[0] == "en"
+
+
+def test_labels_that_repeat_an_id_delete_no_label(spark):
+    d = spark.createDataFrame([(i, f"word{i} text number {i} of its own kind {i * 7}") for i in range(40)] + [(3, "another text of the same id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)] + [(3, 1)] * 6000 + [(4, 0)] * 6000, "doc_id long, toxic int")
+    got = toxicity.training_rows(d, labels, max_toxic=1500, max_clean=1500).select("doc_id", "toxic").collect()
+    assert {r.doc_id for r in got} == {i for i in range(40) if not _held(i)} and {r.toxic for r in got} == {0, 1}
+
+
+def _held(i):
+    import zlib
+
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
 def test_bit_slices_for_many_languages():
     grams = {f"l{i:02}": langid.gram_hashes(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}x") for i in range(70)}
     m = langid.LanguageModel.build(grams, log_slots=16)
@@ -777,6 +807,32 @@ def test_edited_texts_and_neighbours(spark, monkeypatch):
     assert all(r.n_near == sum(0 < (int(r.fingerprint, 16) ^ v).bit_count() <= 3 for v in values) for r in got.values())
 
 
+@pytest.mark.parametrize("spread", ["far", "clustered", "tight"])
+def test_ranges_are_of_like_size_however_ids_are_spread(spark, monkeypatch, tmp_path, spread):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_BUCKET", 40)
+    ids = [*range(30_000), -(1 << 62), 1 << 60] if spread == "far" else [(i % 30) ** 7 * 10**6 + i for i in range(30_000)] if spread == "clustered" else list(range(3_000))
+    spark.createDataFrame([(i,) for i in ids] + [(None,)], "doc_id long").write.parquet(str(tmp_path / "ids"))
+    placed, steps = fingerprints._bucketed(spark.read.parquet(str(tmp_path / "ids")))
+    got = placed.where("doc_id is not null").groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).orderBy("bucket").collect()
+    sizes = sorted(r.n for r in got)
+    assert sum(sizes) == len(ids) and len(sizes) > 50 and sizes[-1] <= 2 * sizes[len(sizes) // 2] <= 160
+    assert all(a.hi < b.lo for a, b in zip(got, got[1:], strict=False))
+    assert len({r.bucket // steps for r in got}) <= 64
+
+
+def test_classes_of_any_size_are_joined_once(spark, monkeypatch):
+    from ledgermill.llm import common
+
+    rows = spark.createDataFrame([(i, 7 if i % 2 else i % 50) for i in range(3000)] + [(-1, None)], "id long, fp long")
+    classes = spark.createDataFrame([(i, f"c{i}") for i in range(0, 50, 3)], "fp long, name string")
+    for most in (1, 20, 10_000):
+        monkeypatch.setattr(common, "HEAVY_KEYS", most)
+        for how in ("inner", "left"):
+            want = rows.join(classes, "fp", how).select("id", "fp", "name").collect()
+            got = common.join_classes(rows, classes, "fp", how).select("id", "fp", "name").collect()
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("quantiles", [1, 3, 64])
 def test_next_documents_over_many_ranges(spark, monkeypatch, quantiles):
     """Ids with gaps, repeated and null ones: the order of ranges is the order of the ids."""
