@@ -69,12 +69,16 @@ def nearest_rank(df: DataFrame, value: str, keys: list[str], at: dict[str, float
 
 
 def with_examples(df: DataFrame, group: str, example: str, order: str, n: int = 3) -> DataFrame:
-    """Count and the first n distinct examples (by least row id), bounded before they are gathered."""
-    firsts = df.groupBy(group, example).agg(F.min(order).alias("_o"), F.count("*").alias("_c"))
+    """Count and the first n distinct examples (by least row id).
+
+    Examples are ranked apart from the counts, under a limit that holds before the shuffle, so no task sees all the
+    distinct values of a large group.
+    """
+    firsts = checkpointed(df.groupBy(group, example).agg(F.min(order).alias("_o"), F.count("*").alias("_c")))
     w = Window.partitionBy(group).orderBy("_o", example)
-    placed = firsts.withColumn("_n", F.row_number().over(w))
-    few = F.array_sort(F.collect_list(F.when(F.col("_n") <= n, F.struct("_n", F.col(example).alias("e")))))
-    return placed.groupBy(group).agg(F.sum("_c").alias("n"), F.transform(few, lambda x: x["e"]).alias("examples"))
+    few = firsts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(example).alias("e")))).alias("_few"))
+    total = firsts.groupBy(group).agg(F.sum("_c").alias("n"))
+    return total.join(few, F.col(group).eqNullSafe(F.col("_g"))).select(group, "n", F.transform("_few", lambda x: x["e"]).alias("examples"))
 
 
 def crosstab(df: DataFrame, row: str, column: str, total: str = "total") -> DataFrame:

@@ -163,12 +163,11 @@ def submit(draft: DataFrame, evaluated: DataFrame, consents: DataFrame, key: str
     return {"moves": moves, "evaluations": evaluated.select(key, "outcome", "reasons", "matched"), "consent_events": consents}
 
 
-REVIEWERS = {"r1": "Reviewer One", "r2": "Reviewer Two"}
-
-
-def seed_reviewers(existing: DataFrame) -> DataFrame:
-    """The fixed reviewers put in or renamed."""
-    from ..sources.files import upsert
-
-    new = existing.sparkSession.createDataFrame(list(REVIEWERS.items()), "id string, name string")
-    return upsert(existing.select("id", "name"), new, ["id"])
+def seed_reviewers(existing: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, seeded): names that are stored and names that a settings table asks for, each once. A reviewer is a
+    name: one that is there already stays and counts as seeded; a name that is asked for twice stops the write."""
+    from ..sources.files import append_new
+
+    asked = append_new(wanted.select("name", F.lit(True).alias("seeded")), None, ["name"])
+    stored = existing.select("name").distinct()
+    return asked.unionByName(stored.join(asked.select("name"), "name", "left_anti").withColumn("seeded", F.lit(False)))

@@ -20,14 +20,18 @@ def ends(events: DataFrame, keys: list[str], at="at", action="action", tie="id")
 
 
 def derive_states(subjects: DataFrame, events: DataFrame, types: list[str], log_start: Column, key="subject", signup="signup") -> DataFrame:
-    """L1: a row for every subject and declared type.
+    """L1: a row for every subject and declared type, from its events."""
+    return states_from_ends(subjects, ends(events.select(key, "type", "action", "at", "id"), [key, "type"]), types, log_start, key, signup)
+
+
+def states_from_ends(subjects: DataFrame, seen: DataFrame, types: list[str], log_start: Column, key="subject", signup="signup") -> DataFrame:
+    """L1: a row for every subject and declared type, from the `ends` of (subject, type), however they were gathered.
 
     No event: unknown_pre_log if the subject signed up before the log began, else no_record. First event a
     revocation: conflict. Else what the last event says.
     """
     wanted = subjects.select(key, signup, F.explode(F.array(*map(F.lit, types))).alias("type"))
-    e = ends(events.select(key, "type", "action", "at", "id"), [key, "type"])
-    s = wanted.join(e, [key, "type"], "left")
+    s = wanted.join(seen, [key, "type"], "left")
     state = (
         F.when(F.col("n_events").isNull(), F.when(F.col(signup) < log_start, "unknown_pre_log").otherwise("no_record"))
         .when(F.col("first_action") == "revoked", "conflict").otherwise(F.col("last_action"))

@@ -172,8 +172,8 @@ def edges(spark: SparkSession, rows: list[tuple] = EDGES) -> DataFrame:
     return spark.createDataFrame(rows, "from_state string, to_state string, actor_kind string, needs_ruleset boolean, closed_by_absolute boolean")
 
 
-def refused_moves(moves: DataFrame, table: DataFrame, absolute: tuple[str, ...] = ("age_below_minimum",)) -> DataFrame:
-    """Moves (id, from_state, to_state, actor_kind, reason, ruleset, matched) that aren't allowed, with why.
+def judged_moves(moves: DataFrame, table: DataFrame, absolute: tuple[str, ...] = ("age_below_minimum",)) -> DataFrame:
+    """Moves (id, from_state, to_state, actor_kind, reason, ruleset, matched) with why they aren't allowed, null if they are.
 
     Every move needs its edge, the edge's kind of actor and a reason; some need the ruleset that decided. An approval
     needs the governing evaluation (`matched`, its rules; null: none stored) and is closed to everybody where that
@@ -190,7 +190,12 @@ def refused_moves(moves: DataFrame, table: DataFrame, absolute: tuple[str, ...]
         .when(F.col("_edge.closed_by_absolute") & moves["matched"].isNull(), "no evaluation")
         .when(F.col("_edge.closed_by_absolute") & F.arrays_overlap(moves["matched"], hard), "absolute reject")
     )
-    return both.select(*moves.columns, why.alias("why")).where("why is not null")
+    return both.select(*moves.columns, why.alias("why"))
+
+
+def refused_moves(moves: DataFrame, table: DataFrame, absolute: tuple[str, ...] = ("age_below_minimum",)) -> DataFrame:
+    """The moves that aren't allowed."""
+    return judged_moves(moves, table, absolute).where("why is not null")
 
 
 def refused_changes(before: DataFrame, after: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import derived as D
 from ..operators import events as E
 from ..operators import identity as I
 from ..operators import rules as R
@@ -95,11 +96,7 @@ st AS (SELECT subject, CASE WHEN last_action IS NULL THEN CASE WHEN signup < DAT
 
 
 def _member_states(spark: SparkSession, sf: str) -> DataFrame:
-    chain = I.survivor_of(forest(spark, sf)).withColumnRenamed("id", "member")
-    s = subjects(spark, sf).join(chain, F.col("subject") == F.col("member"))
-    s = s.groupBy("survivor").agg(F.when(~F.bool_or(F.col("signup").isNull()), F.min("signup")).alias("signup"))
-    e = consent_events(spark, sf).join(chain, F.col("subject") == F.col("member")).select(F.col("survivor").alias("subject"), "type", "action", "at", "id")
-    return E.derive_states(s.withColumnRenamed("survivor", "subject"), e, ["processing"], F.lit(LOG_START).cast("date"))
+    return D.by_membership(I.survivor_of(forest(spark, sf)), subjects(spark, sf), consent_events(spark, sf), ["processing"], F.lit(LOG_START).cast("date"))
 
 
 @query(f"{_MEMBER} SELECT subject, state, from_event FROM st")
@@ -376,20 +373,23 @@ edge AS (SELECT * FROM (VALUES ('draft', 'submitted', 'process'), ('submitted',
   ('in_review', 'approved', 'reviewer'), ('in_review', 'rejected', 'reviewer')) t(a, b, who))"""
 
 
-@query(f"""WITH {_TWELVE}, m AS (SELECT f.x AS from_state, t.x AS to_state, k.who AS actor, r.reason, v.ruleset, e.eval FROM s f, s t, (VALUES ('process'), ('reviewer')) k(who), (VALUES (''), ('why not')) r(reason),
-  (VALUES (NULL), ('v1')) v(ruleset), (VALUES ('none'), ('clear'), ('young'), ('low')) e(eval))
+@query(f"""WITH {_TWELVE}, m AS (SELECT f.x AS from_state, t.x AS to_state, CASE c_custkey % 2 WHEN 0 THEN 'process' ELSE 'reviewer' END AS actor, CASE c_custkey // 2 % 2 WHEN 0 THEN '' ELSE 'why not' END AS reason,
+  CASE c_custkey // 4 % 2 WHEN 1 THEN 'v1' END AS ruleset, ['none', 'clear', 'young', 'low'][1 + c_custkey // 8 % 4] AS eval FROM customer, s f, s t)
 SELECT from_state, to_state, CASE WHEN a IS NULL THEN 'no such edge' WHEN who <> actor THEN 'wrong actor' WHEN reason = '' THEN 'reason missing' WHEN from_state = 'submitted' AND ruleset IS NULL THEN 'ruleset missing'
   WHEN to_state = 'approved' AND eval = 'none' THEN 'no evaluation' WHEN to_state = 'approved' AND eval = 'young' THEN 'absolute reject' ELSE 'legal' END AS verdict, count(*) AS n
 FROM m LEFT JOIN edge ON a = from_state AND b = to_state GROUP BY 1, 2, 3""")
 def j10_state_grid(spark, sf):
-    """All 144 ordered pairs of the twelve states by actor, reason, ruleset and evaluation."""
-    values = lambda name, rows, kind="string": spark.createDataFrame([(x,) for x in rows], f"{name} {kind}")
-    found = values("matched", [None, [], ["age_below_minimum"], ["bmi_below_minimum"]], "array<string>")
-    grid = values("from_state", R.STATES).crossJoin(values("to_state", R.STATES)).crossJoin(values("actor_kind", ["process", "reviewer"])).crossJoin(values("reason", ["", "why not"]))
-    grid = grid.crossJoin(values("ruleset", [None, "v1"])).crossJoin(found)  # 4,608 rows, whatever the tables
-    grid = grid.withColumn("id", F.concat_ws("|", "from_state", "to_state", "actor_kind", "reason", F.coalesce("ruleset", F.lit("-")), F.coalesce(F.array_join("matched", ","), F.lit("-"))))
-    bad = R.refused_moves(grid, R.edges(spark)).select("id", "why")
-    return grid.join(bad, "id", "left").groupBy("from_state", "to_state", F.coalesce("why", F.lit("legal")).alias("verdict")).agg(F.count("*").alias("n"))
+    """All 144 ordered pairs of the twelve states for each customer, whose key says by whom and on what grounds."""
+    k = F.col("c_custkey")
+    pick = lambda i, *xs: F.get(F.array(*xs), (i % len(xs)).cast("int"))
+    word = lambda x: F.lit(x).cast("string")
+    found = [F.lit(None).cast("array<string>"), F.array().cast("array<string>"), F.array(F.lit("age_below_minimum")), F.array(F.lit("bmi_below_minimum"))]
+    states_ = F.array(*map(F.lit, R.STATES))
+    case = table(spark, sf, "customer").select(
+        k.alias("id"), pick(k, word("process"), word("reviewer")).alias("actor_kind"), pick(F.expr("c_custkey div 2"), word(""), word("why not")).alias("reason"),
+        pick(F.expr("c_custkey div 4"), word(None), word("v1")).alias("ruleset"), pick(F.expr("c_custkey div 8"), *found).alias("matched"), F.explode(states_).alias("from_state"))
+    grid = case.withColumn("to_state", F.explode(states_))
+    return R.judged_moves(grid, R.edges(spark)).groupBy("from_state", "to_state", F.coalesce("why", F.lit("legal")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_TWELVE}, c AS (SELECT c_custkey AS k, o.x AS was, n.x AS now, c_custkey % 5 = 0 AS edited FROM customer JOIN s n ON n.i = (c_custkey * 7 + 3) % 12 LEFT JOIN s o ON o.i = c_custkey % 12 AND c_custkey % 10 <> 0),

@@ -98,11 +98,11 @@ def m7_age_flip_items(spark, sf):
     return M.age_flip_items(flips, "o_orderkey", "row", 18)[0].select("dedupe_key", "reason")
 
 
-@query("""WITH s AS (SELECT c_custkey AS k, DATE '2020-01-01' + (c_custkey % 4000)::INT AS signup FROM customer) SELECT 'data_quality|row|legacy_patient:' || k || '|signup_date|DATE_IMPOSSIBLE_TO_NULL|' || signup AS dedupe_key,
+@query("""WITH s AS (SELECT c_custkey AS k, DATE '2020-01-01' + (c_custkey * 7 % 4000)::INT AS signup FROM customer) SELECT 'data_quality|row|legacy_patient:' || k || '|signup_date|DATE_IMPOSSIBLE_TO_NULL|' || signup AS dedupe_key,
  '{"legacy_id":"' || k || '","signup_date":{"raw":"' || signup || '","read":"' || signup || '","canonical":null},"rows":' || (SELECT count(*) FROM orders WHERE o_custkey = k) || '}' AS payload FROM s WHERE signup > DATE '2026-06-01'""")
 def m8_shifted_items(spark, sf):
     """M8: records dated in the future as a whole."""
-    d = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 4000).cast("int"))
+    d = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") * 7 % 4000).cast("int"))
     s = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), d.alias("read"), d.cast("string").alias("raw"), F.lit("2026-06-01").cast("date").alias("as_of"))
     return M.shifted_items(X.shifted(s, "read", "as_of", table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k"), "k").select("dedupe_key", "payload")
 

@@ -91,15 +91,16 @@ def a7_ragged(spark, sf):
     return r.agg(*[F.sum(c).alias(c) for c in ("records", "ragged", "fields_with_newline")])
 
 
-@query("""SELECT * FROM (VALUES ('plausibility.weight_kg', '{"min": 30, "max": 300}'), ('plausibility.height_cm', '{"min": 100, "max": 230}'), ('weight_divergence.tolerance', '{"min": 0.9, "max": 1.1}'), ('age.minimum_years', '18'),
- ('bmi.reject_below', '27'), ('bmi.flag_band', '{"min": 27, "max": 30, "min_inclusive": true, "max_inclusive": true}'), ('precedence.absolute_rejects', '["age_below_minimum"]'), ('precedence.flag_preempts_reject', 'true'),
- ('glp1_terms', '16'), ('flag_condition_terms', '6'), ('weight_related_condition_terms', '7')) t(name, value)""")
+@query("""SELECT t.name, t.value, count(*) FILTER (WHERE p_size >= lo AND p_size <= hi) AS inside FROM part, (VALUES ('plausibility.weight_kg', '{"min": 30, "max": 300}', 30, 300), ('plausibility.height_cm', '{"min": 100, "max": 230}', 100, 230),
+ ('weight_divergence.tolerance', '{"min": 0.9, "max": 1.1}', 0.9, 1.1), ('age.minimum_years', '18', 18, 1000), ('bmi.reject_below', '27', 27, 1000), ('bmi.flag_band', '{"min": 27, "max": 30, "min_inclusive": true, "max_inclusive": true}', 27, 30)) t(name, value, lo, hi) GROUP BY 1, 2""")
 def a8_ruleset(spark, sf):
-    """The rules in force, read and checked."""
+    """The numbers of the rules in force, read and checked, with the parts whose size lies inside each."""
     rules = ruleset.load()
-    parts = {f"{p}.{k}": json.dumps(v) for p in ("plausibility", "weight_divergence", "age", "bmi", "precedence") for k, v in getattr(rules, p).items() if k != "rounding"}
-    lists = {t: str(len(getattr(rules, t))) for t in ruleset.TERM_LISTS}
-    return spark.createDataFrame([*parts.items(), *lists.items()], "name string, value string")
+    numbers = {"plausibility.weight_kg": rules.plausibility["weight_kg"], "plausibility.height_cm": rules.plausibility["height_cm"], "weight_divergence.tolerance": rules.weight_divergence["tolerance"],
+               "age.minimum_years": rules.age["minimum_years"], "bmi.reject_below": rules.bmi["reject_below"], "bmi.flag_band": rules.bmi["flag_band"]}
+    inside = lambda v: F.col("p_size").between(v["min"], v["max"]) if isinstance(v, dict) else F.col("p_size") >= v
+    said = [F.struct(F.lit(k).alias("name"), F.lit(json.dumps(v)).alias("value"), F.count_if(inside(v)).alias("inside")) for k, v in numbers.items()]
+    return table(spark, sf, "part").agg(F.array(*said).alias("all")).select(F.inline("all"))
 
 
 @query("SELECT n_regionkey, n_nationkey, CASE WHEN n_regionkey = 2 THEN 'new' ELSE n_name END AS n_name FROM nation WHERE n_regionkey <> 2 OR n_nationkey % 2 = 0")
@@ -224,8 +225,9 @@ def p7_submit(spark, sf):
     return one("moves").unionByName(one("evaluations")).unionByName(one("consent_events"))
 
 
-@query("SELECT * FROM (VALUES ('r1', 'Reviewer One'), ('r2', 'Reviewer Two'), ('r9', 'Nine')) t(id, name)")
+@query("SELECT s_name AS name, s_suppkey % 2 = 0 AS seeded FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0")
 def p9_reviewers(spark, sf):
-    """Fixed reviewers put in or renamed, others kept."""
-    have = spark.createDataFrame([("r1", "Old Name"), ("r9", "Nine")], "id string, name string")
-    return X.seed_reviewers(X.seed_reviewers(have))
+    """Asked for a second time, the same names are seeded again and nothing else changes."""
+    s, k = table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("name")), F.col("s_suppkey")
+    first = X.seed_reviewers(s.where(k % 3 == 0), s.where(k % 2 == 0))
+    return X.seed_reviewers(first, s.where(k % 2 == 0))
