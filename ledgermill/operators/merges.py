@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import checksum11, mask_identifier
+from ..sources import stored
 from .decisions import parsed_value
 from .identity import checkpointed, components
 
@@ -42,13 +43,18 @@ def _union(*frames: DataFrame) -> DataFrame:
 
 
 class _State:
-    """Rows that the log names, aliases of theirs, and what was done so far."""
+    """Rows that the log names, aliases of theirs, and what was done so far.
 
-    def __init__(self, rows: DataFrame, aliases: DataFrame):
+    Each step is written out in the shared folder and read back: a checkpoint would carry its estimated size along, and
+    products of sizes grow with every wave until the plans themselves are slow.
+    """
+
+    def __init__(self, rows: DataFrame, aliases: DataFrame, folder: str):
+        self.folder, self.made = folder, 0
         spark, kind = rows.sparkSession, rows.schema["id"].dataType.simpleString()
         self.fields = [f for f in PERSON if f in rows.columns]
         self.written = [*self.fields, *([CHECK] if CHECK in rows.columns else [])]
-        self.rows, self.aliases = checkpointed(rows), checkpointed(aliases)
+        self.rows, self.aliases = self.keep(rows), self.keep(aliases)
         none = lambda schema: [spark.createDataFrame([], schema)]
         # what each wave has said, a list of small tables; all of them stand on checkpointed ones
         self.done = none(f"seq long, survivor {kind}, loser {kind}")
@@ -56,11 +62,16 @@ class _State:
         self.moved = none("seq long, legacy_id string")
         self.audit, self.refused = none(AUDIT), none("seq long, why string")
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        path, self.made = f"{self.folder}/{self.made}", self.made + 1
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     def settle(self) -> None:
-        self.rows, self.aliases = checkpointed(self.rows), checkpointed(self.aliases)
+        self.rows, self.aliases = self.keep(self.rows), self.keep(self.aliases)
         for name in ("done", "changes", "moved", "audit", "refused"):
             if len(said := getattr(self, name)) >= WAVES_AT_ONCE:
-                setattr(self, name, [checkpointed(_union(*said))])
+                setattr(self, name, [self.keep(_union(*said))])
 
     def write(self, changes: DataFrame, parents: DataFrame) -> None:
         """changes: (survivor, field, value), one a field; parents: (id, parent), one an id."""
@@ -89,20 +100,20 @@ def _merge(state: _State, asked: DataFrame) -> None:
     )
     field = lambda f: F.struct(F.lit(f).alias("field"), F.col(f"s.{f}").cast("string").alias("was"), F.col(f"l.{f}").cast("string").alias("other"), F.element_at("decisions", F.lit(f)).alias("pick"))
     checks = [F.col(f"{p}.{CHECK}").alias(f"{p}_check") for p in "sl" if CHECK in state.written]
-    judged = checkpointed(both.select("seq", "survivor", "loser", "reason", "legacy", why.alias("why"), *checks, F.array(*map(field, state.fields)).alias("fields")))
+    judged = state.keep(both.select("seq", "survivor", "loser", "reason", "legacy", why.alias("why"), *checks, F.array(*map(field, state.fields)).alias("fields")))
     # one row a field from here on
     long = judged.where("why is null").select("seq", "survivor", "legacy", *[c for c in judged.columns if c.endswith("_check")], F.inline("fields"))
     picked = F.col("pick").isNotNull()
     long = long.withColumn("parsed", F.when(picked, parsed_value(F.col("field"), F.when(F.col("pick.source") == "edited", F.col("pick.value")).when(F.col("pick.source") == "loser", F.col("other")).otherwise(F.col("was")))))
     sound = ~picked | (F.coalesce(F.col("pick.source").isin(*SOURCES), F.lit(False)) & F.coalesce(F.col("parsed.ok"), F.lit(False)))
     gains = F.when(picked, ~F.col("was").eqNullSafe(F.col("parsed.value"))).otherwise(_empty(F.col("field"), F.col("was")) & ~_empty(F.col("field"), F.col("other")))
-    long = checkpointed(long.withColumns({"sound": sound, "value": F.when(picked, F.col("parsed.value")).otherwise(F.col("other")), "chosen": F.col("pick.source"), "gains": gains}).drop("parsed", "other", "pick").where("gains or not sound"))
+    long = state.keep(long.withColumns({"sound": sound, "value": F.when(picked, F.col("parsed.value")).otherwise(F.col("other")), "chosen": F.col("pick.source"), "gains": gains}).drop("parsed", "other", "pick").where("gains or not sound"))
     bad = long.where("not sound").select("seq").distinct()
     state.refused += [judged.where("why is not null").select("seq", "why"), bad.select("seq", F.lit("not a value of the field").alias("why"))]
-    good = judged.where("why is null").join(bad, "seq", "left_anti").select("seq", "survivor", "loser", "reason")
+    good = state.keep(judged.where("why is null").join(bad, "seq", "left_anti").select("seq", "survivor", "loser", "reason"))
     source = F.when(F.col("chosen").isNull() | (F.col("chosen") == "loser"), F.col("legacy"))
     said = long.join(bad, "seq", "left_anti").where("gains").withColumn("source", source).drop("legacy", "gains", "sound")
-    first = checkpointed(said.groupBy("survivor", "field").agg(F.min_by(F.struct(*[c for c in said.columns if c not in ("survivor", "field")]), "seq").alias("c")).select("survivor", "field", "c.*"))
+    first = state.keep(said.groupBy("survivor", "field").agg(F.min_by(F.struct(*[c for c in said.columns if c not in ("survivor", "field")]), "seq").alias("c")).select("survivor", "field", "c.*"))
     if CHECK in state.written:
         follows = F.when(F.col("chosen").isNull(), F.col("l_check")).otherwise(_check(F.col("value")))
         number = first.where(F.col("field") == NUMBER).withColumns({"was": F.col("s_check"), "value": follows, "field": F.lit(CHECK)})
@@ -110,16 +121,16 @@ def _merge(state: _State, asked: DataFrame) -> None:
     made_ = first.select("seq", "survivor", "field", _shown(F.col("field"), F.col("was")).alias("from_value"), _shown(F.col("field"), F.col("value")).alias("to_value"), F.col("source").alias("source_legacy_id"), "chosen")
     state.changes.append(made_)
     state.done.append(good.select("seq", "survivor", "loser"))
-    moves = state.aliases.join(good.select("seq", F.col("loser").alias("patient_id"), F.col("survivor").alias("_to")), "patient_id")
-    state.moved.append(moves.select("seq", "legacy_id"))
+    moves = state.keep(state.aliases.join(good.select("seq", F.col("loser").alias("patient_id")), "patient_id").select("seq", "legacy_id"))
+    state.moved.append(moves)
     id_, to = F.col("loser").cast("string"), F.col("survivor").cast("string")
     null = F.lit(None).cast("string")
     reason = lambda verb, who: F.concat(F.lit(verb), who, F.lit(": "), F.col("reason"))
     gone = good.select("seq", id_.alias("entity_id"), F.lit("independent").alias("from_state"), F.lit("merged").alias("to_state"), reason("merged into patient ", to).alias("reason"), id_.alias("_l"), to.alias("_s"))
     kept = good.select("seq", to.alias("entity_id"), null.alias("from_state"), null.alias("to_state"), reason("absorbed patient ", id_).alias("reason"), id_.alias("_l"))
-    state.audit += [
-        _line(gone, "merged_into", null, F.col("_s")), _line(gone.join(moves.select("seq", "legacy_id"), "seq"), "patient_id", F.col("_l"), F.col("_s"), F.col("legacy_id")),
-        _line(kept, "merged_from", null, F.col("_l")), _line(kept.join(made_.drop("survivor"), "seq"), F.col("field"), F.col("from_value"), F.col("to_value"), F.col("source_legacy_id"), F.col("chosen"))]
+    state.audit.append(state.keep(_union(
+        _line(gone, "merged_into", null, F.col("_s")), _line(gone.join(moves, "seq"), "patient_id", F.col("_l"), F.col("_s"), F.col("legacy_id")),
+        _line(kept, "merged_from", null, F.col("_l")), _line(kept.join(made_.drop("survivor"), "seq"), F.col("field"), F.col("from_value"), F.col("to_value"), F.col("source_legacy_id"), F.col("chosen")))))
     state.write(first.select("survivor", "field", "value"), good.select(F.col("loser").alias("id"), F.col("survivor").alias("parent")))
     state.aliases = state.aliases.join(good.select(F.col("loser").alias("patient_id"), F.col("survivor").alias("_to")), "patient_id", "left").select("legacy_id", F.coalesce("_to", "patient_id").alias("patient_id"))
 
@@ -135,21 +146,21 @@ def _undo(state: _State, asked: DataFrame) -> None:
     there = asked.drop("survivor").join(state.rows.select(F.col("id").alias("loser"), F.col("merged_into").alias("survivor"), F.lit(True).alias("_here")), "loser", "left")
     record = _union(*state.done).withColumnRenamed("seq", "merged_at").groupBy("survivor", "loser").agg(F.max("merged_at").alias("merged_at"))
     why = F.when(F.col("_here").isNull(), "no such loser").when(F.col("survivor").isNull(), "not merged into anything").when(F.col("merged_at").isNull(), "no record of the merge")
-    judged = checkpointed(there.join(record, ["survivor", "loser"], "left").withColumn("why", why))
+    judged = state.keep(there.join(record, ["survivor", "loser"], "left").withColumn("why", why))
     state.refused.append(judged.where("why is not null").select("seq", "why"))
     good = judged.where("why is null").select("seq", "survivor", "loser", "reason", "merged_at")
     released = _union(*state.changes).drop("survivor").withColumnRenamed("seq", "merged_at").join(good.select("seq", "survivor", "merged_at"), "merged_at")
     empty = reduce(lambda out, kv: F.when(F.col("field") == kv[0], F.lit(kv[1]).cast("string")).otherwise(out), PERSON.items(), F.lit(None).cast("string"))
     back = F.when(F.col("field") == CHECK, "absent").when(F.col("chosen").isNull() | (F.col("field") == NUMBER), empty).otherwise(F.col("from_value"))
-    released = checkpointed(released.withColumn("value", back))
-    freed = _union(*state.moved).withColumnRenamed("seq", "merged_at").join(good.select("seq", "loser", "merged_at"), "merged_at").select("seq", "legacy_id", "loser")
+    released = state.keep(released.withColumn("value", back))
+    freed = state.keep(_union(*state.moved).withColumnRenamed("seq", "merged_at").join(good.select("seq", "loser", "merged_at"), "merged_at").select("seq", "legacy_id", "loser"))
     id_, to, null = F.col("loser").cast("string"), F.col("survivor").cast("string"), F.lit(None).cast("string")
     reason = lambda verb, who: F.concat(F.lit(verb), who, F.lit(": "), F.col("reason"))
     gone = good.select("seq", id_.alias("entity_id"), F.lit("merged").alias("from_state"), F.lit("independent").alias("to_state"), reason("unmerged from patient ", to).alias("reason"), id_.alias("_l"), to.alias("_s"))
     kept = good.select("seq", to.alias("entity_id"), null.alias("from_state"), null.alias("to_state"), reason("released patient ", id_).alias("reason"), id_.alias("_l"))
-    state.audit += [
+    state.audit.append(state.keep(_union(
         _line(gone, "merged_into", F.col("_s"), null), _line(gone.join(freed.select("seq", "legacy_id"), "seq"), "patient_id", F.col("_s"), F.col("_l"), F.col("legacy_id")),
-        _line(kept, "merged_from", F.col("_l"), null), _line(kept.join(released.drop("survivor"), "seq"), F.col("field"), F.col("to_value"), F.col("from_value"), F.col("source_legacy_id"), F.col("chosen"))]
+        _line(kept, "merged_from", F.col("_l"), null), _line(kept.join(released.drop("survivor"), "seq"), F.col("field"), F.col("to_value"), F.col("from_value"), F.col("source_legacy_id"), F.col("chosen")))))
     state.write(released.select("survivor", "field", "value"), good.select(F.col("loser").alias("id"), F.lit(None).cast(state.rows.schema["merged_into"].dataType).alias("parent")))
     state.aliases = state.aliases.join(freed.select("legacy_id", F.col("loser").alias("_to")), "legacy_id", "left").select("legacy_id", F.coalesce("_to", "patient_id").alias("patient_id"))
 
@@ -182,25 +193,30 @@ def replay(rows: DataFrame, aliases: DataFrame, log: DataFrame) -> dict[str, Dat
     that the merge had filled, gives decided ones their earlier value back (a masked number can't come back, it is emptied) and hands
     the aliases back that the merge had moved. An empty log changes nothing.
     """
+    with stored.scratch(rows.sparkSession) as folder:
+        return {name: checkpointed(df) for name, df in _replay(rows, aliases, log, folder).items()}
+
+
+def _replay(rows: DataFrame, aliases: DataFrame, log: DataFrame, folder: str) -> dict[str, DataFrame]:
     alone = (F.size(F.coalesce("decisions", F.create_map().cast("map<string,struct<source:string,value:string>>"))) > 0) | (F.col("survivor") == F.col("loser"))
     entries = checkpointed(log.select("seq", "kind", "survivor", "loser", "reason", "decisions", F.coalesce(alone, F.lit(False)).alias("alone")))
     named = entries.select(F.explode(F.array("survivor", "loser")).alias("id")).where("id is not null").distinct()
     # an undoing writes the record that its loser is stored as merged into
     held = rows.join(named, "id", "left_semi").where("merged_into is not null").select(F.col("merged_into").alias("id"))
     touched = checkpointed(named.unionByName(held).distinct())
-    state = _State(rows.join(touched, "id", "left_semi"), aliases.join(touched.withColumnRenamed("id", "patient_id"), "patient_id", "left_semi").select("legacy_id", "patient_id"))
+    state = _State(rows.join(touched, "id", "left_semi"), aliases.join(touched.withColumnRenamed("id", "patient_id"), "patient_id", "left_semi").select("legacy_id", "patient_id"), folder)
     links = entries.where("survivor is not null").select(F.col("survivor").alias("a"), F.col("loser").alias("b"))
     links = links.unionByName(state.rows.where("merged_into is not null").select(F.col("id").alias("a"), F.col("merged_into").alias("b")))
     root = components(links).select(F.col("node").alias("loser"), F.col("root").alias("comp"))
-    pending = checkpointed(entries.join(root, "loser", "left").withColumn("comp", F.coalesce("comp", "loser")))
+    pending = state.keep(entries.join(root, "loser", "left").withColumn("comp", F.coalesce("comp", "loser")))
     while not pending.isEmpty():
-        ready = checkpointed(_ready(pending))
+        ready = state.keep(_ready(pending))
         kinds = {r[0] for r in ready.select("kind").distinct().collect()}
         for kind, step in (("merge", _merge), ("unmerge", _undo)):
             if kind in kinds:
                 step(state, ready.where(F.col("kind") == kind))
         state.settle()
-        pending = checkpointed(pending.join(ready.select("seq"), "seq", "left_anti"))
+        pending = state.keep(pending.join(ready.select("seq"), "seq", "left_anti"))
     return {
         "rows": rows.join(touched, "id", "left_anti").unionByName(state.rows), "aliases": aliases.select("legacy_id", "patient_id").join(touched.withColumnRenamed("id", "patient_id"), "patient_id", "left_anti").select("legacy_id", "patient_id").unionByName(state.aliases),
         "audit": _union(*state.audit), "refused": _union(*state.refused), "changes": _union(*state.changes)}

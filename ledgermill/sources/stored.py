@@ -36,6 +36,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def mark(spark: SparkSession, path: str) -> None:
+    """Say that what stands in the folder is complete."""
+    fs, p = _at(spark, f"{path}/_SUCCESS")
+    fs.create(p, True).close()
+
+
 def new_folder(spark: SparkSession) -> str:
     """The name of a new folder where all executors can write."""
     ensure_checkpoint_dir(spark)
