@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import sys
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,13 +56,36 @@ def has_double_space(c: Column) -> Column:
 
 
 def has_diacritics(c: Column) -> Column:
-    """A letter that decomposes into a base and marks (Latin ranges of precomposed letters)."""
-    return c.rlike(r"[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ-ňŌ-ťŨ-ž̀-ͯ]")
+    """A character beside printable ASCII, which every one is that decomposes into a base and a mark."""
+    return c.rlike("[^ -~]")
+
+
+def _ranges(numbers: list[int]) -> str:
+    """A character class of code points."""
+    out, first = [], None
+    for i, n in enumerate(numbers):
+        first = n if first is None else first
+        if i + 1 == len(numbers) or numbers[i + 1] != n + 1:
+            out.append(f"\\x{{{first:X}}}-\\x{{{n:X}}}")
+            first = None
+    return f"[{''.join(out)}]"
+
+
+@cache
+def _marked() -> str:
+    """Code points of all scripts whose canonical decomposition holds a mark, as one class."""
+    whole = (n for n in range(sys.maxunicode + 1) if not 0xD800 <= n <= 0xDFFF)
+    return _ranges([n for n in whole if any(unicodedata.category(x)[0] == "M" for x in unicodedata.normalize("NFD", chr(n)))])
+
+
+def has_marks(c: Column) -> Column:
+    """A mark, or a letter that decomposes into a base and marks, in any script."""
+    return c.rlike(_marked())
 
 
 def unusual_name_characters(c: Column) -> Column:
     """What a name has besides letters, marks, spaces, hyphens, apostrophes and dots, each once, sorted."""
-    return F.array_sort(F.array_distinct(F.split(F.regexp_replace(c, r"[\p{L}\p{M} .'’-]", ""), "")))
+    return F.array_sort(F.array_distinct(F.split(F.regexp_replace(c, r"[\p{L}\p{M} '\-.]", ""), "")))
 
 
 def parse_number(c: Column) -> Column:

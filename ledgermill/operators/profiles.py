@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -121,3 +122,35 @@ def overlaps(groupings: dict[str, DataFrame], key: str) -> DataFrame:
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(held(i) & held(j), F.col("n")).otherwise(0).alias("n"), F.when(F.col("mask") == 1 << i, F.col("n")).otherwise(0).alias("only_a"))
              for i, a in enumerate(names) for j, b in enumerate(names) if i <= j]
     return counts.select(F.inline(F.array(*pairs))).groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("only_a").alias("only_a"))
+
+
+@dataclass(frozen=True)
+class Claim:
+    """A sentence about a table that its rows can bear out: a measure (an aggregate), what it should be, and by how much it may be off."""
+
+    name: str
+    table: str
+    measure: Column
+    expected: float
+    tolerance: float = 0.0
+
+
+def judged_claims(tables: dict[str, DataFrame], claims: list[Claim]) -> DataFrame:
+    """Q: (name, source, found, expected, tolerance, verdict) of all claims: confirmed, refuted, or unknown where nothing was measured.
+
+    The measures of one table are taken together, in one scan of it, and equal ones once (Catalyst sees that). A claim
+    on a table that isn't there is unknown too. Names have to be distinct."""
+    if len({c.name for c in claims}) < len(claims):
+        raise ValueError("two claims of one name")
+    spark = next(iter(tables.values())).sparkSession
+    said = []
+    for name in dict.fromkeys(c.table for c in claims):
+        own = [c for c in claims if c.table == name]
+        one = lambda c, found: F.struct(F.lit(c.name).alias("name"), F.lit(c.table).alias("source"), found.cast("double").alias("found"), F.lit(float(c.expected)).alias("expected"), F.lit(float(c.tolerance)).alias("tolerance"))
+        if name in tables:
+            said.append(tables[name].agg(*[c.measure.alias(f"m{i}") for i, c in enumerate(own)]).select(F.inline(F.array(*[one(c, F.col(f"m{i}")) for i, c in enumerate(own)]))))
+        else:
+            said.append(spark.range(1).select(F.inline(F.array(*[one(c, F.lit(None)) for c in own]))))
+    off = F.abs(F.col("found") - F.col("expected"))
+    verdict = F.when(F.col("found").isNull(), "unknown").when(off <= F.col("tolerance"), "confirmed").otherwise("refuted")
+    return reduce(DataFrame.unionByName, said).withColumn("verdict", verdict)

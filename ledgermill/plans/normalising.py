@@ -241,6 +241,18 @@ def b24_text_flags(spark, sf):
     return p.select("p_partkey", T.digits_only(F.col("p_brand")).alias("digits"), T.has_double_space(F.col("p_name")).alias("double_space"), F.round(T.parse_number(raw), 2).alias("number"))
 
 
+_SPACES = T.WS[1:-1].replace("\\x0B", "\\x{0B}").replace("\\x20", "\\x{20}").replace("\\xA0", "\\x{A0}")
+
+
+@query(f"""SELECT doc_id, regexp_matches(text, '^[{_SPACES}]') OR regexp_matches(text, '[{_SPACES}]$') AS edge_space, regexp_matches(text, '[^ -~]') AS beside_ascii, strip_accents(text) <> text AS marks,
+ sha256(list_aggregate(list_sort(list_distinct(regexp_extract_all(text, '[^\\p{{L}}\\p{{M}} ''\\-.]'))), 'string_agg', '')) AS unusual FROM documents WHERE text <> '' AND regexp_matches(text, '[^\\p{{L}}\\p{{M}} ''\\-.]')""")
+def b24_unusual_text(spark, sf):
+    """Edge spaces, characters beside ASCII, marks of any script and unusual characters of whole texts."""
+    t = F.col("text")
+    d = table(spark, sf, "documents").select("doc_id", "text", F.array_join(T.unusual_name_characters(t), "").alias("odd")).where("text <> '' and odd <> ''")
+    return d.select("doc_id", T.has_edge_space(t).alias("edge_space"), T.has_diacritics(t).alias("beside_ascii"), T.has_marks(t).alias("marks"), F.sha2(F.col("odd").cast("binary"), 256).alias("unusual"))
+
+
 @query(f"""WITH r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '  ' || text ELSE text END AS text FROM documents), f AS (SELECT {fold_sql("text")} AS folded, text FROM r)
 SELECT sha256(folded) AS folded_hash, count(DISTINCT text) AS spellings, count(*) AS n FROM f GROUP BY folded HAVING count(DISTINCT text) > 1""")
 def e16_folding_merge(spark, sf):

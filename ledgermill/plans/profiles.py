@@ -136,3 +136,19 @@ def k11_six_groupings(spark, sf):
 
     found = [sharing("name"), sharing("n_chars", most=3), sharing("text"), sharing("source", "n_chars"), sharing("lang", "start"), sharing("ending")]
     return P.overlaps(dict(zip(_SIX, found, strict=True)), "doc_id")
+
+
+_CLAIMS = [
+    ("orders are open half the time", "orders", "avg(CAST(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS DOUBLE))", 0.5, 0.02), ("every order has a customer", "orders", "count(*) - count(o_custkey)", 0, 0), ("orders have three states", "orders", "count(DISTINCT o_orderstatus)", 3, 0),
+    ("an order is worth 150,000", "orders", "avg(o_totalprice)", 150000, 20000), ("keys of orders are distinct", "orders", "count(*) - count(DISTINCT o_orderkey)", 0, 0), ("no balance is negative", "customer", "count(CASE WHEN c_acctbal < 0 THEN 1 END)", 0, 0),
+    ("customers live in 25 nations", "customer", "count(DISTINCT c_nationkey)", 25, 0), ("lines are returned a third of the time", "lineitem", "avg(CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS DOUBLE))", 0.3333, 0.02), ("a line has at most 50 pieces", "lineitem", "max(l_quantity)", 50, 0),
+    ("events name a user", "events", "count(CASE WHEN user_id IS NULL THEN 1 END)", 0, 0), ("users have value", "events", "min(CASE WHEN value > 1000000000 THEN value END)", 1, 1),
+]
+
+
+@query(" UNION ALL ".join(f"""SELECT '{n}' AS name, '{t}' AS source, round(found, 6) AS found, {e}::DOUBLE AS expected, {tol}::DOUBLE AS tolerance, CASE WHEN found IS NULL THEN 'unknown' WHEN abs(found - {e}) <= {tol} THEN 'confirmed' ELSE 'refuted' END AS verdict
+FROM (SELECT ({m})::DOUBLE AS found FROM {t})""" for n, t, m, e, tol in _CLAIMS))
+def q_claims(spark, sf):
+    """Q: eleven claims about four tables, judged in one scan of each."""
+    tables = {t: table(spark, sf, t) for t in ("orders", "customer", "lineitem", "events")}
+    return P.judged_claims(tables, [P.Claim(n, t, F.expr(m), e, tol) for n, t, m, e, tol in _CLAIMS]).withColumn("found", F.round("found", 6))

@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgermill.functions import text as T
 from ledgermill.operators import aggregates as A
 from ledgermill.operators import profiles as P
 from ledgermill.operators import submission as S
@@ -94,6 +95,25 @@ def test_examples_of_large_and_null_groups(spark):
     assert got == {None: (100, ["v00", "v04", "v08"]), "g": (300, ["v01", "v02", "v03"])}
 
 
+def test_claims(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (2, 4.0)], "k int, v double")
+    c = [P.Claim("rows", "t", F.count("*"), 3), P.Claim("mean", "t", F.avg("v"), 2.9, 0.2), P.Claim("distinct", "t", F.countDistinct("k"), 3), P.Claim("none", "t", F.max(F.when(F.col("k") > 9, 1)), 1), P.Claim("gone", "u", F.count("*"), 0)]
+    got = P.judged_claims({"t": df}, c)
+    assert {r.name: (r.found, r.verdict) for r in got.collect()} == {"rows": (3.0, "confirmed"), "mean": (3.0, "confirmed"), "distinct": (2.0, "refuted"), "none": (None, "unknown"), "gone": (None, "unknown")}
+    with pytest.raises(ValueError, match="one name"):
+        P.judged_claims({"t": df}, [c[0], c[0]])
+
+
+def test_marks_of_every_code_point(spark):
+    import unicodedata
+
+    points = [n for n in range(1, 0x110000) if not 0xD800 <= n <= 0xDFFF]
+    want = {n for n in points if any(unicodedata.category(x)[0] == "M" for x in unicodedata.normalize("NFD", chr(n)))}
+    whole = spark.createDataFrame([(n, chr(n)) for n in sorted(want | set(points[::37]) | set(range(1, 0x3000)))], "id int, c string")
+    assert {r.id for r in whole.where(T.has_marks(F.col("c"))).collect()} == want
+    assert T._marked().count("-") < 3000
+
+
 # -- submission --
 
 GOOD = {
