@@ -1,7 +1,7 @@
 """Mixing by iterative proportional fitting (raking).
 
 Documents are added up to cells (source, language, topic); the cells' token weights are scaled to the
-target shares of each margin in turn, none above what its cell can give, until all three hold. A document is then
+target shares of each margin in turn, none above what its cell can give, ROUNDS times over all three. A document is then
 kept with its cell's calibrated probability: the share of the token budget that the cell should have over what it
 has. Because the limit is inside the fit, what a full cell can't give goes to the other cells of its margins. Where
 all cells of a value are full, its target is out of reach and the sample falls short there; `achieved` tells by how much.
