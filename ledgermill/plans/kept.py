@@ -89,9 +89,8 @@ def _journal_sql() -> str:
 def k7_merge_journal(spark, sf):
     """Four customers a group; two merge into the first, the first into the last (every other time with a
     decided city), some of it is undone, two entries are refused; rows, owners of aliases, audit and refusals afterwards."""
-    table(spark, sf, "customer").createOrReplaceTempView("customer")
     names = {f: name for f, (name, _) in _FIELDS.items()}
-    p = spark.sql(PERSONS).select(F.col("k").alias("id"), F.lit(None).cast("long").alias("merged_into"), *[F.col(f).alias(name) for f, name in names.items()])
+    p = spark.sql(PERSONS.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf, "customer")).select(F.col("k").alias("id"), F.lit(None).cast("long").alias("merged_into"), *[F.col(f).alias(name) for f, name in names.items()])
     whole = p.groupBy(F.expr("id div 4").alias("g")).agg(F.count("*").alias("n")).where("n = 4").select("g")
     p = p.join(whole, F.expr("id div 4") == F.col("g"), "left_semi")
     aliases = p.select(F.col("id").cast("string").alias("legacy_id"), F.col("id").alias("patient_id"))
@@ -107,3 +106,22 @@ def k7_merge_journal(spark, sf):
     row = owned.select(F.lit("row").alias("kind"), F.col("id").cast("string").alias("key"), F.inline(F.array(*[said(n, F.col(n)) for n in (*names.values(), "merged_into")], said("owner of its alias", F.col("patient_id")))))
     count = lambda kind, df, what: df.groupBy(F.lit(kind).alias("kind"), (F.col("seq") % 10).cast("string").alias("key"), F.col(what).alias("what")).agg(F.count("*").cast("string").alias("value"))
     return row.unionByName(count("audit", out["audit"], "field")).unionByName(count("refused", out["refused"], "why"))
+
+
+@query("""WITH g AS (SELECT c_custkey AS g, CASE c_custkey % 7 WHEN 0 THEN 'not_the_same_person' WHEN 1 THEN 'split' ELSE 'merge' END AS action, CASE WHEN c_custkey % 13 = 0 THEN '  ' ELSE 'seen' END AS note, c_custkey % 5 = 0 AS other, c_custkey % 11 = 0 AS self,
+ c_custkey % 3 = 0 AS gone, c_custkey % 17 = 0 AS odd FROM customer), p AS (SELECT *, CASE WHEN action = 'split' THEN 'no such action' WHEN trim(note) = '' THEN 'note missing' WHEN action = 'merge' THEN CASE WHEN other THEN 'not records of the item'
+ WHEN self THEN 'merges into itself' WHEN gone THEN 'merged away already' WHEN odd THEN 'not a field of the person' END END AS problem FROM g)
+SELECT g AS item, action, CASE WHEN problem IS NULL THEN CASE action WHEN 'merge' THEN 'resolved' ELSE 'dismissed' END END AS outcome, problem, problem IS NULL AND action = 'merge' AS entered FROM p""")
+def p4_identity_requests(spark, sf):
+    """Requests on identity conflicts of two records each, and the entries of the merge log that they make."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    held = c.select(k.alias("item"), F.explode(F.array(4 * k, 4 * k + 1)).alias("patient_id"))
+    action = F.when(k % 7 == 0, "not_the_same_person").when(k % 7 == 1, "split").otherwise("merge")
+    loser = F.when(k % 5 == 0, 4 * k + 2).when(k % 11 == 0, 4 * k).otherwise(4 * k + 1)
+    odd = F.when(k % 17 == 0, F.create_map(F.lit("shoe_size"), F.struct(F.lit("edited").alias("source"), F.lit("44").alias("value"))))
+    asked = c.select(k.alias("seq"), k.alias("item"), action.alias("action"), (4 * k).alias("survivor"), loser.alias("loser"), F.when(k % 13 == 0, "  ").otherwise("seen").alias("note"), odd.alias("decisions"))
+    people = held.select(F.col("patient_id").alias("id"), F.when((F.col("item") % 3 == 0) & (F.col("patient_id") % 4 == 1), F.col("patient_id") - 1).alias("merged_into"))
+    entries, said = M.identity_entries(asked, held, people)
+    made = entries.select(F.col("seq").alias("item"), F.lit(True).alias("entered"))
+    return said.join(made, "item", "left").select("item", "action", "outcome", "problem", F.coalesce("entered", F.lit(False)).alias("entered"))

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import events, identity, items, kept, more, normalising, profiles, profiling, relational, reports, scans, submissions  # noqa: E402, F401
+from . import events, identity, items, kept, more, normalising, profiles, profiling, relational, reports, scans, submissions, worklists  # noqa: E402, F401
