@@ -51,13 +51,22 @@ def _no_empty_file(spark: SparkSession, path: str, like: DataFrame) -> DataFrame
     return e.where("e <> ''").select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in like.schema])
 
 
+MAX_RECORD_LINES = 10_000
+
+
 def _records(lines: DataFrame) -> DataFrame:
-    """(source_file, line_no, raw, bom): records; a line that begins inside quotes belongs to the record before it."""
+    """(source_file, line_no, raw, bom): records; a line that begins inside quotes belongs to the record before it.
+
+    A quote that nothing closes would make one record of the rest of its file: the line after MAX_RECORD_LINES of a
+    record stops the read where it is read, before any are put together.
+    """
     lines = lines.withColumn("start", F.when(F.col("quotes") % 2 == 0, F.col("line_no")))
     w = Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     per = lines.groupBy("file", "split").agg(F.max("start").alias("last")).select("file", "split", F.max("last").over(earlier).alias("carried"))
     placed = lines.withColumn("first", F.max("start").over(w)).join(per, ["file", "split"]).withColumn("first", F.coalesce("first", "carried"))
+    endless = F.raise_error(F.concat(F.lit(f"a record of more than {MAX_RECORD_LINES} lines at line "), F.col("first").cast("string"), F.lit(" of "), F.col("source_file")))
+    placed = placed.withColumn("raw", F.when(F.col("line_no") - F.col("first") >= MAX_RECORD_LINES, endless).otherwise(F.col("raw")))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])
     made = placed.groupBy("file", "source_file", F.col("first").alias("line_no")).agg(F.array_join(listed, "\n").alias("raw"), F.max(_had_bom()).alias("bom"))
     return made.select("source_file", "line_no", F.regexp_replace("raw", "\r$", "").alias("raw"), "bom")

@@ -45,6 +45,16 @@ def test_csv_scan_stops_at_what_it_cannot_read(spark, tmp_path, bad):
         S.read_csv(spark, str(p), ["id", "name"]).collect()
 
 
+def test_csv_scan_stops_at_an_endless_record(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "MAX_RECORD_LINES", 20)
+    p = tmp_path / "a.csv"
+    p.write_text('id,name\n1,"' + "x\n" * 19 + '"\n2,b\n')
+    assert [r.id for r in S.read_csv(spark, str(p), ["id", "name"]).orderBy("line_no").collect()] == ["1", "2"]
+    p.write_text('id,name\n1,a\n2,"b\n' + "3,c\n" * 30 + '4,"d"\n')  # the quote of line 3 isn't closed
+    with pytest.raises(Exception, match="a record of more than 20 lines at line 3 of a.csv"):
+        S.read_csv(spark, str(p), ["id", "name"]).collect()
+
+
 def test_csv_scan_in_splits(spark, tmp_path):
     """Records that stand over the ends of splits, several files, both line ends, no last line feed."""
     want = []
