@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import is_calendar_date
 from ..functions.text import checksum11, trim_all
 from .detectors import field_diff
-from .identity import apply_changes
+from .identity import apply_changes, checkpointed, dealt, held_values
 from .normalise import EMAIL
 
 # fixed values: the columns that a decision may write, by owner in the order of asking; a legacy outcome isn't among them
@@ -63,10 +63,15 @@ def decide(items: DataFrame, requests: DataFrame, rows: DataFrame, patients: Dat
     owner_id (the rows that an item lists: a weight read as pounds and its patient; an intake of a pair); patients:
     patient_id. A request that its item can't take has a problem and neither changes nor subjects.
     """
-    r = requests.join(items, "item")
-    listed = r.select("item", "value", F.coalesce("excluded", F.array().cast("array<string>")).alias("excluded")).join(rows.select("item", "row", F.col("owner_id").isNull().alias("lone")), "item").groupBy("item").agg(
+    n_asked = requests.count()
+    r = checkpointed(dealt(requests, n_asked, "item").join(items, "item"))
+    part = lambda df: dealt(df, n_asked, "item")
+    listed = part(r.select("item", "value", F.coalesce("excluded", F.array().cast("array<string>")).alias("excluded"))).join(rows.select("item", "row", F.col("owner_id").isNull().alias("lone")), "item").groupBy("item").agg(
         F.count("*").alias("_rows"), F.max(F.col("row").eqNullSafe(F.col("value"))).alias("_chosen"), F.max("lone").alias("_lone"), F.count_if(F.array_contains("excluded", F.col("row"))).alias("_known"))
-    r = r.join(listed, "item", "left").join(patients.select(F.col("patient_id").cast("string").alias("value"), F.lit(True).alias("_exists")).distinct(), "value", "left")
+    # only these values are looked up; the others are a few words that most requests share
+    named = r.where("type = 'orphan_intake' and action = 'attach' and value is not null").select("item", "value")
+    found = held_values(named, "value", patients.select(F.col("patient_id").cast("string").alias("value"))).select("item", F.lit(True).alias("_exists"))
+    r = part(r).join(listed, "item", "left").join(found, "item", "left")
     kind, action, value = F.col("type"), F.col("action"), F.col("value")
     is_ = lambda k, *does: (kind == k) & action.isin(*does) if does else kind == k
     allowed = reduce(lambda out, kv: F.when(kind == kv[0], action.isin(*kv[1])).otherwise(out), ACTIONS.items(), F.lit(False))
@@ -87,6 +92,7 @@ def decide(items: DataFrame, requests: DataFrame, rows: DataFrame, patients: Dat
         .when(is_("clinical_history") & F.col("intake_id").isNull(), "names no intake")
     )
     r = r.withColumns({"problem": problem, "typed": typed, "target": target, "pounds": pounds, "writes": writes})
+    r = checkpointed(r.select("item", "type", "action", "note", "value", "field", "excluded", "patient_id", "intake_id", "problem", "typed", "target", "pounds", "writes"))  # read eight times
     outcome = F.when(F.col("problem").isNull(), F.when(action.isin(*DISMISSING), "dismissed").otherwise("resolved"))
     decisions = r.select("item", "action", outcome.alias("outcome"), "note", "problem")
     good = r.where("problem is null")
@@ -95,10 +101,10 @@ def decide(items: DataFrame, requests: DataFrame, rows: DataFrame, patients: Dat
     # the check follows the number
     check = own.where("entity_type = 'patient' and field = 'bsn'").select("item", "entity_type", "entity_id", F.lit("bsn_check").alias("field"), F.when(F.col("value").isNull(), "absent").when(checksum11(F.col("value")), "valid").otherwise("invalid").alias("value"))
     attach = good.where((kind == "orphan_intake") & (action == "attach")).select("item", F.lit("intake").alias("entity_type"), F.col("intake_id").cast("string").alias("entity_id"), F.lit("patient_id").alias("field"), "value")
-    weigh = good.where("pounds").select("item", F.coalesce("excluded", F.array().cast("array<string>")).alias("excluded")).join(rows, "item").where(~F.array_contains("excluded", F.col("row")))
+    weigh = good.where("pounds").select("item", F.coalesce("excluded", F.array().cast("array<string>")).alias("excluded")).transform(part).join(rows, "item").where(~F.array_contains("excluded", F.col("row")))
     weigh = weigh.select("item", F.lit("patient").alias("entity_type"), F.col("owner_id").cast("string").alias("entity_id"), F.lit("weight_kg").alias("field"), parsed_value(F.lit("weight_kg"), F.col("value"))["value"].alias("value"))
     changes = reduce(DataFrame.unionByName, (own, check, attach, weigh))
-    pair = good.where(kind == "duplicate_intake").select("item").join(rows, "item").select("item", F.lit("intake").alias("entity_type"), F.col("owner_id").cast("string").alias("entity_id"))
+    pair = part(good.where(kind == "duplicate_intake").select("item")).join(rows, "item").select("item", F.lit("intake").alias("entity_type"), F.col("owner_id").cast("string").alias("entity_id"))
     about = lambda k, entity, key: good.where(kind == k).select("item", F.lit(entity).alias("entity_type"), F.col(key).cast("string").alias("entity_id"))
     return decisions, changes, reduce(DataFrame.unionByName, (pair, about("consent", "patient", "patient_id"), about("clinical_history", "intake", "intake_id")))
 
@@ -109,18 +115,22 @@ def resolve(stored: dict[str, DataFrame], items: DataFrame, decisions: DataFrame
     stored: rows of each entity type, key `id`. Changes that change nothing are dropped; an item none of whose changes
     took effect is recorded on its subjects, else on its own intake or patient. The item is closed all the same.
     """
+    changes = checkpointed(changes)
+    n_items, n_changes = decisions.count(), changes.count()
     nxt, made = {}, None
     for entity, rows in stored.items():
         fields = [f for f in OWNERS[entity] if f in rows.columns]
-        now = rows.select(F.col("id").cast("string").alias("entity_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("from_value")) for f in fields])).alias("c")).select("entity_id", "c.*")
-        own = changes.where(F.col("entity_type") == entity).join(now, ["entity_id", "field"]).where(~F.col("from_value").eqNullSafe(F.col("value")))
-        own = own.select("item", "entity_type", "entity_id", "field", "from_value", F.col("value").alias("to_value"))
+        now = rows.select(F.col("id").cast("string").alias("entity_id"), F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))]).alias("_now"))
+        own = changes.where((F.col("entity_type") == entity) & F.col("field").isin(fields))
+        own = dealt(own, n_changes, "entity_id").join(now, "entity_id").withColumn("from_value", F.element_at("_now", F.col("field"))).where(~F.col("from_value").eqNullSafe(F.col("value")))
+        own = checkpointed(own.select("item", "entity_type", "entity_id", "field", "from_value", F.col("value").alias("to_value")))
         nxt[entity] = apply_changes(rows, own.withColumn("survivor", F.col("entity_id").cast(rows.schema["id"].dataType)), "id", fields)
         made = own if made is None else made.unionByName(own)
+    made, items = dealt(made, n_changes, "item"), dealt(items, n_items, "item")
     line = F.array_sort(F.collect_list(F.struct("field", "from_value", "to_value"))).alias("changes")  # a row's changed fields
-    written = made.groupBy("item", "entity_type", "entity_id").agg(line)
-    taken = decisions.where("problem is null")
-    quiet = taken.select("item").join(written.select("item"), "item", "left_anti")
+    written = checkpointed(made.groupBy("item", "entity_type", "entity_id").agg(line))
+    taken = dealt(decisions.where("problem is null"), n_items, "item")
+    quiet = checkpointed(taken.select("item").join(written.select("item"), "item", "left_anti"))
     none = F.lit(None).cast(written.schema["changes"].dataType).alias("changes")
     named = quiet.join(subjects, "item").select("item", "entity_type", "entity_id", none)
     rest = quiet.join(subjects.select("item"), "item", "left_anti").join(items.select("item", "patient_id", "intake_id"), "item")

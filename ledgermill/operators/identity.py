@@ -30,6 +30,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+ROWS_PER_TASK = 50_000
+HEAVY = 100_000  # rows of one value that don't go to one task
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Dealt out by keys into tasks of some 50,000 of n rows. Spark merges partitions by their compressed size, and rows that are
+    much alike take a hundred times that in a task; a stated number of partitions stays."""
+    return df.repartition(1 + n // ROWS_PER_TASK, *keys)
+
+
+def held_values(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """rows whose `key` is a value of `known` (a column of that name); `rows` is read three times. Values that more than HEAVY rows have, which are few,
+    are broadcast, so no value brings all of its rows to one task."""
+    held = checkpointed(rows.groupBy(key).agg(F.count("*").alias("_n")).join(known.select(key), key, "left_semi"))
+    heavy = F.broadcast(held.where(F.col("_n") > HEAVY).select(key))
+    return rows.join(heavy, key, "left_semi").unionByName(rows.join(heavy, key, "left_anti").join(held.where(F.col("_n") <= HEAVY), key, "left_semi"))
+
+
 def keys_of(rows: DataFrame, key: str, parts: dict[str, Column]) -> DataFrame:
     """K1: (key, kind, value), a row per key that the record has; null and empty are never keys."""
     some = [F.when(v.isNotNull() & (v != ""), F.struct(F.lit(k).alias("kind"), v.cast("string").alias("value"))) for k, v in parts.items()]
