@@ -4,9 +4,8 @@ Every assistant turn becomes an example of its own: all turns before it as conte
 trainable. A turn is written `<s>[INST]role[/INST]text</s>`; control strings inside roles and texts are
 broken by a backslash (and backslashes doubled), so that reading back is exact.
 
-Examples of one conversation share their context. They are stored as deltas: an example's text is the
-concatenation of the deltas up to its own, and `context_chars` says how many characters stand before.
-Writing and reading a conversation thus costs its length, not its square; `expand` gives full texts.
+Examples of one conversation share their context, and each is written out whole, as a trainer reads it. So a conversation of n
+replies costs the square of n, as the expansion itself does; turns are escaped once, and texts pass in batches of bounded size.
 """
 
 from __future__ import annotations
@@ -24,6 +23,7 @@ from .common import lean
 TARGET = "assistant"
 EXTRA_ID = -7
 EXTRA_TEXT = "</s>[INST] ok [/INST]"
+CHARS_PER_BATCH = 4 << 20
 
 _CONTROL = re.compile(r"<(?=/?s>)|\[(?=/?INST\])")
 _ESCAPED = re.compile(r"\\(\\?)")
@@ -55,16 +55,16 @@ def with_extra(conversations: DataFrame) -> DataFrame:
     return c.unionByName(extra)
 
 
-EXAMPLE = "conv_id long, example long, first_turn long, n_turns long, context_chars long, delta string, loss_start long, loss_end long"
+EXAMPLE = "conv_id long, example long, n_turns long, text string, loss_start long, loss_end long"
 
 
 def format_examples(conversations: DataFrame) -> DataFrame:
-    """One row per example, in storage order of (conv_id, example).
+    """One row per example with its whole text (every turn before it, then its own), in storage order of (conv_id, example).
 
     Rows of a conversation are ordered by turn, then role, then text (nulls first, as empty); repeated
-    rows stay. `loss_start`, `loss_end`: the trainable part of `delta`, -1 where nothing is: turns after
-    the last reply form a last example without a target, so that nothing is lost. Rows stream through
-    sorted partitions; memory holds one example's turns however long a conversation is.
+    rows stay. `loss_start`, `loss_end`: the trainable part of `text`, -1 where nothing is: turns after
+    the last reply form a last example without a target, so that nothing is lost. The output of a conversation
+    grows with the square of its replies, as the expansion does; memory holds a few examples at a time.
     """
     c = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     c = c.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -72,83 +72,84 @@ def format_examples(conversations: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started, conv = False, None
-        nth = turn = before = 0
-        held: list[str] = []
+        nth, turns, text, target = 0, 0, "", None
         out: list[dict] = []
+        size = 0
 
         def close(reply: str | None):
-            nonlocal nth, turn, before, held
-            delta = "".join(held)
-            end = len(delta) - len("</s>")
-            out.append({"conv_id": conv, "example": nth, "first_turn": turn, "n_turns": len(held), "context_chars": before, "delta": delta,
-                        "loss_start": -1 if reply is None else end - len(escape(reply)), "loss_end": -1 if reply is None else end})
-            nth, turn, before, held = nth + 1, turn + len(held), before + len(delta), []
+            nonlocal nth, target, size
+            end = len(text) - len("</s>")
+            out.append({"conv_id": conv, "example": nth, "n_turns": turns, "text": text, "loss_start": -1 if reply is None else end - len(escape(reply)), "loss_end": -1 if reply is None else end})
+            nth, target, size = nth + 1, turns, size + len(text)
+
+        def taken() -> pa.RecordBatch:
+            nonlocal size
+            batch = pa.RecordBatch.from_pylist(out, schema=schema)
+            out.clear()
+            size = 0
+            return batch
 
         for b in batches:
-            for c_id, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for c_id, role, said in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if not started or c_id != conv:
-                    if held:
+                    if started and target != turns:
                         close(None)
                     started, conv = True, c_id
-                    nth = turn = before = 0
-                held.append(format_turn(role, text))
+                    nth, turns, text, target = 0, 0, "", None
+                text += format_turn(role, said)
+                turns += 1
                 if role == TARGET:
-                    close(text)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out.clear()
-        if held:
+                    close(said)
+                if size >= CHARS_PER_BATCH:
+                    yield taken()
+        if started and target != turns:
             close(None)
         if out:
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield taken()
 
     return c.mapInArrow(lean(run), EXAMPLE)
 
 
 def expand(examples: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_end) with full texts; grows with the square of a
-    conversation's replies, as the expansion itself does."""
-    a, b = examples.alias("a"), examples.alias("b")
-    both = a.join(b, F.expr("a.conv_id <=> b.conv_id and b.example <= a.example"))
-    parts = F.array_sort(F.collect_list(F.struct(F.col("b.example").alias("e"), F.col("b.delta").alias("d"))))
-    whole = both.groupBy("a.conv_id", "a.example").agg(
-        F.array_join(F.transform(parts, lambda x: x["d"]), "").alias("text"), F.max("a.context_chars").alias("before"),
-        F.max("a.loss_start").alias("s"), F.max("a.loss_end").alias("e"))
-    at = lambda c: F.when(F.col(c) >= 0, F.col(c) + F.col("before")).otherwise(F.lit(-1)).alias(f"loss_{'start' if c == 's' else 'end'}")
-    return whole.select("conv_id", "example", "text", at("s"), at("e"))
+    """(conv_id, example, text, loss_start, loss_end): the examples without what is said about them."""
+    return examples.select("conv_id", "example", "text", "loss_start", "loss_end")
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
 
 def digests(examples: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the formatted examples. formatted_chars sums the full
-    length of all examples (the shared context counted in each)."""
+    """One row per conversation, read back from the formatted examples: its turns from the last one, which holds all of them, its
+    replies from what each has under the loss mask. formatted_chars sums the length of all examples (the shared context
+    counted in each). A row's text is let go once the next is read."""
     schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in DIGEST.split(", ")])
-    e = examples.select("conv_id", "example", "context_chars", "delta", "loss_start", "loss_end")
+    e = examples.select("conv_id", "example", "text", "loss_start", "loss_end")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict | None = None
+        state, last = None, ""
         out: list[dict] = []
 
         def close():
-            if state is not None:
-                out.append({k: v.hexdigest() if k.endswith("sha256") else v for k, v in state.items()})
+            if state is None:
+                return
+            for role, said in read_turns(last):
+                state["n_turns"] += 1
+                state["turns_sha256"].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            out.append({k: v.hexdigest() if k.endswith("sha256") else v for k, v in state.items()})
 
         for b in batches:
-            for conv, _, before, delta, s, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            convs, starts, ends = (b.column(i).to_pylist() for i in (0, 3, 4))
+            for i, (conv, s, t) in enumerate(zip(convs, starts, ends, strict=True)):
                 if state is None or state["conv_id"] != conv:
                     close()
                     state = {"conv_id": conv, "n_turns": 0, "turns_sha256": hashlib.sha256(), "loss_chars": 0,
                              "loss_sha256": hashlib.sha256(), "formatted_chars": 0, "n_examples": 0}
-                for role, text in read_turns(delta):
-                    state["n_turns"] += 1
-                    state["turns_sha256"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                last = b.column(2)[i].as_py()
                 if s >= 0:
-                    reply = unescape(delta[s:t])
+                    reply = unescape(last[s:t])
                     state["loss_chars"] += len(reply)
                     state["loss_sha256"].update(reply.encode("utf-8", "surrogatepass"))
-                state["formatted_chars"] += before + len(delta)
+                state["formatted_chars"] += len(last)
                 state["n_examples"] += 1
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
