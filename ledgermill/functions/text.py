@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 WS = r"[\t\n\x0B\f\r\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 
+_WS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"  # the same as characters
+
+
 def trim_all(c: Column) -> Column:
-    """B1: strip the whole white-space class at both ends."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    """B1: strip the whole white-space class at both ends; no pattern is tried between them."""
+    return F.btrim(c, F.lit(_WS))
 
 
 def fold(c: Column) -> Column:
@@ -47,7 +50,7 @@ def digits_only(c: Column) -> Column:
 
 def has_edge_space(c: Column) -> Column:
     """B24."""
-    return c != trim_all(c)
+    return F.substring(c, 1, 1).rlike(WS) | F.substring(c, -1, 1).rlike(WS)
 
 
 def has_double_space(c: Column) -> Column:
@@ -79,13 +82,22 @@ def _marked() -> str:
 
 
 def has_marks(c: Column) -> Column:
-    """A mark, or a letter that decomposes into a base and marks, in any script."""
-    return c.rlike(_marked())
+    """A mark, or a letter that decomposes into a base and marks, in any script. None is ASCII, so runs of that go first: the
+    class has some hundreds of ranges, which are tried one by one."""
+    return F.regexp_replace(c, r"[\x00-\x7F]++", "").rlike(_marked())
+
+
+_USUAL = r"\p{L}\p{M} '\-."  # fixed values
 
 
 def unusual_name_characters(c: Column) -> Column:
     """What a name has besides letters, marks, spaces, hyphens, apostrophes and dots, each once, sorted."""
-    return F.array_sort(F.array_distinct(F.split(F.regexp_replace(c, r"[\p{L}\p{M} '\-.]", ""), "")))
+    return F.array_sort(F.array_distinct(F.split(F.regexp_replace(c, f"[{_USUAL}]++", ""), "")))
+
+
+def has_unusual_characters(c: Column) -> Column:
+    """Whether there is any."""
+    return c.rlike(f"[^{_USUAL}]")
 
 
 def parse_number(c: Column) -> Column:

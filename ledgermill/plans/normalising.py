@@ -249,8 +249,9 @@ _SPACES = T.WS[1:-1].replace("\\x0B", "\\x{0B}").replace("\\x20", "\\x{20}").rep
 def b24_unusual_text(spark, sf):
     """Edge spaces, characters beside ASCII, marks of any script and unusual characters of whole texts."""
     t = F.col("text")
-    d = table(spark, sf, "documents").select("doc_id", "text", F.array_join(T.unusual_name_characters(t), "").alias("odd")).where("text <> '' and odd <> ''")
-    return d.select("doc_id", T.has_edge_space(t).alias("edge_space"), T.has_diacritics(t).alias("beside_ascii"), T.has_marks(t).alias("marks"), F.sha2(F.col("odd").cast("binary"), 256).alias("unusual"))
+    odd = F.array_join(T.unusual_name_characters(t), "")  # no filter on it, which would work it out twice
+    d = table(spark, sf, "documents").where(T.has_unusual_characters(t))
+    return d.select("doc_id", T.has_edge_space(t).alias("edge_space"), T.has_diacritics(t).alias("beside_ascii"), T.has_marks(t).alias("marks"), F.sha2(odd.cast("binary"), 256).alias("unusual"))
 
 
 @query(f"""WITH r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '  ' || text ELSE text END AS text FROM documents), f AS (SELECT {fold_sql("text")} AS folded, text FROM r)
