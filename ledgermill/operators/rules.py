@@ -42,7 +42,7 @@ def match_terms(read: Column, terms: list[str]) -> Column:
     """Per segment (as `read_segments` gives them), in order, struct(text, term) of the first listed term that it
     contains. One pattern of all terms looks first whether there is any."""
     table = F.array(*[F.struct(F.lit(_key(t)).alias("k"), F.lit(t).alias("t")) for t in terms])
-    some = F.filter(read, lambda m: m["k"].rlike("|".join(re.escape(_key(t)) for t in terms)))
+    some = F.filter(read, lambda m: m["k"].rlike(f" (?:{'|'.join(re.escape(_key(t)[1:]) for t in terms)})"))
     return F.transform(some, lambda m: F.struct(m["text"].alias("text"), F.get(F.filter(table, lambda t: contains_run(m["k"], t["k"])), F.lit(0))["t"].alias("term")))
 
 
