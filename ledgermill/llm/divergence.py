@@ -26,6 +26,7 @@ TOP_TERMS = 50
 PRIOR = 5
 SCALE_STEPS = 3  # a share is in steps of 1000 ** -3
 BYTES_PER_SLICE = 32 << 20
+BYTES_PER_BLOCK = 4 << 20
 TERMS_PER_CHUNK = 4096
 CELLS_PER_CHUNK = 1 << 25
 
@@ -54,17 +55,46 @@ def _tally(keys: np.ndarray, space: int) -> tuple[np.ndarray, np.ndarray]:
 
 def count_batch(texts: pa.Array, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
     """(group, term, occurrences, documents) of all terms of a batch; groups has a small number for each text."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(texts), pattern=BETWEEN_TERMS)
-    words = lists.flatten()
-    doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    real = pc.not_equal(words, "")
-    words, doc = words.filter(real).dictionary_encode(), doc[real.to_numpy(zero_copy_only=False)]
-    ids, size = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary))
-    cells, n = _tally(groups[doc] * size + ids, (int(groups.max(initial=0)) + 1) * size)
-    pairs = np.unique(doc * size + ids)
-    held, d = _tally(groups[pairs // size] * size + pairs % size, (int(groups.max(initial=0)) + 1) * size)
+    coded, doc = [], []
+    for lo, hi in _blocks(texts):  # what splitting leaves of a block is let go before the next; its terms stay as numbers
+        lists = pc.split_pattern_regex(pc.ascii_lower(texts.slice(lo, hi - lo)), pattern=BETWEEN_TERMS)
+        words = lists.flatten()
+        real = pc.not_equal(words, "")
+        doc.append(np.repeat(np.arange(lo, hi, dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[real.to_numpy(zero_copy_only=False)])
+        coded.append(words.filter(real).dictionary_encode())
+        del lists, words, real
+    coded = pa.chunked_array(coded, pa.dictionary(pa.int32(), texts.type)).unify_dictionaries()
+    terms = coded.chunk(0).dictionary if coded.num_chunks else pa.array([], texts.type)
+    ids = np.concatenate([np.zeros(0, np.int32), *[c.indices.to_numpy() for c in coded.chunks]])
+    doc, size = np.concatenate([np.zeros(0, np.int32), *doc]), max(1, len(terms))
+    del coded
+    space = (int(groups.max(initial=0)) + 1) * size
+    keys = groups[doc]
+    keys *= size
+    keys += ids
+    cells, n = _tally(keys, space)
+    keys = doc.astype(np.int64)
+    keys *= size
+    keys += ids
+    del doc, ids
+    keys.sort()
+    first = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    pairs = keys[first]
+    del keys, first
+    held, d = _tally(groups[pairs // size] * size + pairs % size, space)
     assert np.array_equal(cells, held)
-    return cells // size, words.dictionary.take(pa.array(cells % size)), n, d
+    return cells // size, terms.take(pa.array(cells % size)), n, d
+
+
+def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of some 4 MB of text each (or of one longer text)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BYTES_PER_BLOCK, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 @lean
@@ -76,7 +106,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = pd.MultiIndex.from_arrays([t.column("lang").to_pandas(), t.column("source").to_pandas()])
         group, names = pd.factorize(keys)
         text = t.column("text").cast(pa.large_string()).combine_chunks()
-        g, term, n, d = count_batch(text if isinstance(text, pa.Array) else text.chunk(0), group.astype(np.int64))
+        text = text if isinstance(text, pa.Array) else text.chunk(0)
+        del t, keys
+        held.clear()  # their text stands in `text`
+        g, term, n, d = count_batch(text, group.astype(np.int64))
         lang, source = (pa.array([x[i] for x in names], pa.string()).take(pa.array(g)) for i in (0, 1))
         for lo in range(0, len(g), 100_000):
             at = slice(lo, lo + 100_000)
