@@ -16,7 +16,7 @@ from ..sources.ruleset import Ruleset
 from . import rules as R
 from .detectors import possible_existing
 from .events import derive_states
-from .identity import checkpointed
+from .identity import checkpointed, dealt
 from .items import existing_items, unknown_medication_items
 from .normalise import EMAIL, map_email, trim_whitespace
 
@@ -102,7 +102,8 @@ def submit_all(intakes: DataFrame, requests: DataFrame, patients: DataFrame, now
     A new patient's id is the intake's with `form:` before it. An intake that is asked for twice is submitted once.
     """
     today = F.to_date(now)
-    asked = requests.select("intake_id").distinct().join(intakes.select("intake_id", "state", "answers", F.lit(True).alias("_here")), "intake_id", "left")
+    # checking a document is dear and its rows are much alike: dealt by number, else a few tasks would check all of them
+    asked = dealt(requests.select("intake_id").distinct(), requests.count(), "intake_id").join(intakes.select("intake_id", "state", "answers", F.lit(True).alias("_here")), "intake_id", "left")
     asked = asked.withColumn("a", parsed(F.coalesce("answers", F.lit("{}")))).withColumn("issues", F.when(F.col("state") == "draft", issues(F.col("a"), today, rules)))
     kind = F.when(F.col("_here").isNull(), "not_found").when(~F.col("state").eqNullSafe(F.lit("draft")), "not_draft").when(F.size("issues") > 0, "invalid")
     asked = checkpointed(asked.withColumn("kind", kind))
